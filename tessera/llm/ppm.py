@@ -8,7 +8,7 @@ to the context without its first byte, where the bytes seen after the longer one
 sums. Below the empty context all bytes not seen in training are equally likely. The probabilities of the
 256 bytes after any context add up to 1. A text's code length is the sum over its bytes.
 
-The corpus is dealt into blocks by a hash of its rows. Each block sends its distinct words and grams with
+The corpus is dealt into blocks by a hash of its rows. Each block sends its distinct words (their 64-bit hashes) and grams with
 their training counts; counts are summed per word and gram over all blocks; the log probability of each
 distinct gram that any text needs is worked out once; and each block gets back just its own words and grams.
 Nothing of the model is collected or broadcast but counts of byte pairs (at most 65,536) and two totals.
@@ -35,7 +35,7 @@ END = 10  # the line feed: no word holds it
 
 @dataclass(frozen=True)
 class PPMConfig:
-    order: int = 4
+    order: int = 5
     held_out_parts: int = 7
     held_out_part: int = 2
     block_bytes: int = 16_000_000
@@ -67,7 +67,7 @@ class Lookup:
     """An open-addressing table from 64-bit keys to floats, read and filled with whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         size = 1 << self.bits
         self.keys, self.values, self.used = np.zeros(size, np.uint64), np.zeros(size), np.zeros(size, bool)
         left, slot, claim = np.arange(len(keys)), self._slot(keys), np.full(size, -1, np.int64)
@@ -161,32 +161,63 @@ def gram_log10(grams: np.ndarray, counts: np.ndarray, order: int, pairs: np.ndar
     return logp
 
 
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """64-bit XXH64 of words: 10 million different words hold two with one key with a probability of 3e-6."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words)).astype(np.int64)
+
+
+def _chunks(texts: pa.ChunkedArray, most: int = 1_000_000):
+    """The words of a block's texts in runs of about ``most`` bytes, with the run's place: only a run is held at a time."""
+    docs, size, start, at = [], 0, 0, 0
+    for x in texts:
+        docs.append(words_of(x.as_py()))
+        size += sum(map(len, docs[-1]))
+        at += 1
+        if size > most:
+            yield start, docs
+            docs, size, start = [], 0, at
+    if docs:
+        yield start, docs
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and their counts summed."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    by = np.argsort(k, kind="stable")
+    k, c = k[by], c[by]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))[: len(k)]
+    return k[first], np.add.reduceat(c, first) if len(k) else c
+
+
 def _dictionary(config: PPMConfig):
-    schema = pa.schema([("block", pa.int32()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("block", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
         learn = t.column("held_out").to_numpy() == 0
-        docs = [words_of(x.as_py()) for x in t.column("text")]
         known, other = Counter(), set()
-        for w, k in zip(docs, learn, strict=True):
-            (known if k else other).update(w)
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for start, docs in _chunks(t.column("text")):
+            mine = learn[start : start + len(docs)]
+            for w, k in zip(docs, mine.tolist(), strict=True):
+                (known if k else other).update(w)
+            code, lengths = stream(docs, config.order)
+            train = np.repeat(mine, lengths)
+            g, c = np.unique(code[train], return_counts=True)
+            rest = np.unique(code[~train])
+            keys += [g, rest]
+            counts += [c, np.zeros(len(rest), np.int64)]
+            if len(keys) > 8:
+                g, c = _merged(keys, counts)
+                keys, counts = [g], [c]
         other -= known.keys()
-        words, n = [*known, *other], [*known.values(), *[0] * len(other)]
-        code, lengths = stream(docs, config.order)
-        train = np.repeat(learn, lengths)
-        grams, counts = np.unique(code[train], return_counts=True)
-        rest = np.setdiff1d(code[~train], grams)
-        k = len(grams) + len(rest)
-        return pa.table(
-            [
-                pa.array(np.full(len(words) + k, block, np.int32)),
-                pa.concat_arrays([pa.array(words, pa.binary()), pa.nulls(k, pa.binary())]),
-                pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(np.concatenate([grams, rest]).astype(np.int64))]),
-                pa.array(np.concatenate([np.array(n, np.int64), counts, np.zeros(len(rest), np.int64)]).astype(np.int64)),
-            ],
-            schema=schema,
-        )
+        words = np.concatenate([word_keys(list(known)), word_keys(list(other))])
+        n = np.concatenate([np.fromiter(known.values(), np.int64, len(known)), np.zeros(len(other), np.int64)])
+        grams, c = _merged(keys, counts)
+        kind = np.concatenate([np.zeros(len(words), np.int8), np.ones(len(grams), np.int8)])
+        return pa.table([pa.array(np.full(len(kind), block, np.int32)), pa.array(kind), pa.array(np.concatenate([words, grams.astype(np.int64)])), pa.array(np.concatenate([n, c]))], schema=schema)
 
     return run
 
@@ -200,16 +231,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confi
     blocks = 1 + (total[0] or 0) // config.block_bytes
     ends = total[1]
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(int(blocks), "block")
-    entries = cut(blocked.groupBy("block").applyInArrow(_dictionary(config), "block int, word binary, gram long, n long"), "ppm-entries")
+    entries = cut(blocked.groupBy("block").applyInArrow(_dictionary(config), "block int, kind byte, key long, n long"), "ppm-entries")
 
     # a word's rows: one per block that holds it
-    by_word = Window.partitionBy("word")
-    words = entries.filter("word IS NOT NULL").select("block", "word", "n", F.sum("n").over(by_word).alias("c"), (F.min("block").over(by_word) == F.col("block")).alias("one"))
+    by_word = Window.partitionBy("key")
+    words = entries.filter("kind = 0").select("block", "key", "n", F.sum("n").over(by_word).alias("c"), (F.min("block").over(by_word) == F.col("block")).alias("one"))
     words = cut(words, "ppm-words")
     sums = words.agg(F.sum("n"), F.count_if(F.col("one") & (F.col("c") > 0))).first()
     n_train, vocabulary = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
 
-    counted = cut(entries.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
+    counted = cut(entries.filter("kind = 1").groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")), "ppm-grams")
     pairs = np.zeros((256, 256))
     for r in counted.groupBy(F.col("gram").bitwiseAND(65535).alias("p")).agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
         pairs[r["p"] >> 8, r["p"] & 255] = r["n"]
@@ -221,39 +252,47 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confi
 
     group = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(65535)), F.lit(256)).alias("g")
     logp = counted.groupBy(group).applyInArrow(logs, "gram long, logp double")
-    back = words.select("block", "word", F.lit(None).cast("long").alias("gram"), F.col("c").cast("double").alias("value")).unionByName(
-        entries.filter("gram IS NOT NULL").join(logp.hint("shuffle_hash"), "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", F.col("logp").alias("value"))
+    back = words.select("block", F.lit(0).cast("byte").alias("kind"), "key", F.col("c").cast("double").alias("value")).unionByName(
+        entries.filter("kind = 1").join(logp.withColumnRenamed("gram", "key"), "key").select("block", "kind", "key", F.col("logp").alias("value"))
     )
     back = back.withColumnRenamed("block", "b")
 
     def scored(t: pa.Table, d: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
+        from xxhash import xxh64_intdigest
 
-        texts = [words_of(x.as_py()) for x in t.column("text")]
-        is_word = pc.is_valid(d.column("word"))
-        w = d.filter(is_word)
-        g = d.filter(pc.invert(is_word))
-        c = w.column("value").to_numpy()
+        kind, keys, values = (d.column(c).to_numpy() for c in ("kind", "key", "value"))
+        c = values[kind == 0]
         floor = np.log10(n_train + vocabulary + 1)
-        names = w.column("word").to_pylist()
-        value = dict(zip(names, (np.log10(c + 1) - floor).tolist(), strict=True))
-        unknown = {x for x, k in zip(names, (c == 0).tolist(), strict=True) if k}
+        counts = Lookup(keys[kind == 0].astype(np.uint64), c)
+        grams = Lookup(keys[kind == 1].astype(np.uint64), values[kind == 1])
+        del keys, values, kind
         end = float(np.log10(ends + 1) - floor)
-        base = [end + sum(map(value.__getitem__, x)) for x in texts]
-        n_tokens = [len(x) + 1 for x in texts]
-        n_known = [len(x) - (sum(map(unknown.__contains__, x)) if unknown else 0) + (ends > 0) for x in texts]
-        code, lengths = stream(texts, order)
-        p = Lookup(g.column("gram").to_numpy().astype(np.uint64), g.column("value").to_numpy()).get(code)
-        s = np.add.reduceat(p, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
+        base, n_tokens, n_known, total = [], [], [], []
+        for _, docs in _chunks(t.column("text")):
+            # each word of the run is looked up once
+            place = {w: i for i, w in enumerate(dict.fromkeys(w for x in docs for w in x))}
+            c = counts.get(np.fromiter((xxh64_intdigest(w) for w in place), np.uint64, len(place)))
+            logs = np.log10(c + 1) - floor
+            lengths = np.array([len(x) for x in docs], np.int64)
+            at = np.fromiter((place[w] for x in docs for w in x), np.int64, int(lengths.sum()))
+            owner = np.repeat(np.arange(len(docs)), lengths)
+            base.append(end + np.bincount(owner, logs[at], len(docs)))
+            n_tokens.append(lengths + 1)
+            n_known.append(np.bincount(owner, c[at] > 0, len(docs)).astype(np.int64) + (ends > 0))
+            code, lengths = stream(docs, order)
+            total.append(np.add.reduceat(grams.get(code), np.cumsum(lengths) - lengths))
+        rows = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, n_known, base, total)]
+        n = t.num_rows
         return pa.table(
             {
                 "doc_id": t.column("doc_id"),
                 "held_out": pc.cast(t.column("held_out"), pa.bool_()),
-                "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
-                "train_tokens": pa.array([n_train] * len(texts), pa.int64()),
-                "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(s, pa.float64()),
+                "n_tokens": pa.array(rows[0].astype(np.int64)),
+                "n_known": pa.array(rows[1].astype(np.int64)),
+                "train_tokens": pa.array(np.full(n, n_train, np.int64)),
+                "base_score": pa.array(rows[2]),
+                "score": pa.array(rows[3]),
             }
         )
 

@@ -75,6 +75,7 @@ def test_lookup():
     r = np.random.default_rng(0)
     k = np.unique(r.integers(0, 2**50, 5000).astype(np.uint64))
     t = P.Lookup(k, np.arange(len(k)).astype(float))
+    assert len(P.Lookup(k[:0], np.zeros(0)).get(k[:0])) == 0
     assert (t.get(k[::-1]) == np.arange(len(k))[::-1]).all()
     with pytest.raises(KeyError):
         t.get(np.array([2**55], np.uint64))
