@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document's terms are its distinct lower-case words (runs of letters) and their prefixes of 4 to 7 letters,
-hashed to 2^22 ids. From a bounded sample of labelled documents the terms that stand out in either class are
+hashed to 2^20 ids. From a bounded sample of labelled documents the terms that stand out in either class are
 chosen (chi-square), and a second-order factorization machine is fitted to them by logistic loss: a bias,
 a weight per term, and ``rank`` factors per term whose products are the pairwise interactions.
 
@@ -26,15 +26,15 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import ids_of_fold
 
 WORD = re.compile(r"[^\W\d_]+")
-BITS = 22
+BITS = 20
 PREFIXES = (4, 5, 6, 7)
 
 
 @dataclass(frozen=True)
 class FMConfig:
     #: most labelled documents that the model is fitted to (chosen by a hash of the id), and terms it may use
-    max_train_rows: int = 20000
-    max_terms: int = 1024
+    max_train_rows: int = 12000
+    max_terms: int = 768
     rank: int = 4
     epochs: int = 150
     learning_rate: float = 0.05
@@ -100,11 +100,9 @@ def fit_arrays(rows: list[np.ndarray], y: np.ndarray, config: FMConfig = FMConfi
     if pos == 0 or pos == n:
         p = (pos + 1) / (n + 2)
         return FMModel(float(np.log(p / (1 - p))))
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
-    label = np.repeat(y, lengths)
-    a = np.bincount(flat[label == 1], minlength=1 << BITS).astype(float)  # documents with the term, toxic
-    b = np.bincount(flat[label == 0], minlength=1 << BITS).astype(float)
+    a, b = np.zeros(1 << BITS), np.zeros(1 << BITS)  # documents with the term, toxic and not
+    for r, label in zip(rows, y, strict=True):
+        (a if label else b)[r] += 1
     neg = n - pos
     lift = (a / pos + 1e-4) / (b / neg + 1e-4)
     chi = n * (a * (neg - b) - b * (pos - a)) ** 2 / np.maximum(pos * neg * (a + b) * (n - a - b), 1)
@@ -114,10 +112,11 @@ def fit_arrays(rows: list[np.ndarray], y: np.ndarray, config: FMConfig = FMConfi
     rng = np.random.default_rng(config.seed)
     d = len(terms)
     x = np.zeros((n, d), np.float32)
-    at = np.searchsorted(terms, flat)
-    at[at == d] = 0
-    hit = terms[at] == flat if d else np.zeros(len(flat), bool)
-    x[np.repeat(np.arange(n), lengths)[hit], at[hit]] = 1
+    place = np.full(1 << BITS, -1, np.int32)
+    place[terms] = np.arange(d)
+    for i, r in enumerate(rows):
+        at = place[r]
+        x[i, at[at >= 0]] = 1
     bias = np.float32(np.log(pos / neg))
     p = [np.array([bias]), np.zeros(d, np.float32), rng.normal(0, 0.05, (d, config.rank)).astype(np.float32)]
     m, s = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
