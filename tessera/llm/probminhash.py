@@ -11,7 +11,7 @@ shingle) with their counts as weights. Similarity is the probability Jaccard ind
 3. Bands of the signature make buckets. Every member is compared with the bucket's hub (the member with most
    bucket mates overall), exactly. Members that are not in their hub's component are then compared with the
    other members whose signatures leave a similarity of the threshold possible, the most similar first, in
-   rounds of four times as many until none is left. Buckets are dealt in blocks, so none meets in one task.
+   rounds of sixteen times as many until none is left. Buckets are dealt in blocks, so none meets in one task.
 4. Classes are the connected components of the verified pairs (large-star, small-star).
 
 Defined cases: null and empty texts have no shingles and are singletons. Repeated rows are returned each time.
@@ -40,7 +40,7 @@ class ProbMinHashConfig:
     bands: int = 24
     rows: int = 5
     #: a pair's estimate may be so many standard deviations under the threshold and still be verified
-    deviations: float = 5.0
+    deviations: float = 2.0
     block: int = 2048
 
     @property
@@ -155,11 +155,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sketch(config), "id long, content binary, sig binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, config: ProbMinHashConfig) -> DataFrame:
-    """The pairs (a, b, of contents) whose exact similarity reaches the threshold.
-
-    The texts of contents in a pair are read again and shuffled once; a text per content is kept.
-    """
+def _shingle_table(pairs: DataFrame, docs: DataFrame, text_col: str, config: ProbMinHashConfig) -> DataFrame:
+    """(content, shingles) of the contents in ``pairs``: the texts are read again and shuffled once."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
 
     def contents(batches):
@@ -174,7 +171,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, config: ProbMinH
 
     texts = docs.select(F.col(text_col).alias("text")).mapInArrow(contents, "content binary, text string")
     held = texts.join(wanted.hint("shuffle_hash"), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
-    held = cut(held.mapInArrow(sets, "content binary, shingles binary"), "shingles")
+    return cut(held.mapInArrow(sets, "content binary, shingles binary"), "shingles")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, config: ProbMinHashConfig) -> DataFrame:
+    """The pairs (a, b, of contents) whose exact similarity reaches the threshold."""
 
     def similar(batches):
         for b in batches:
@@ -257,23 +258,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = buckets.groupBy("band", "key").agg(F.max_by("content", F.struct("degree", "content")).alias("hub"))
     stars = members.join(hubs, ["band", "key"]).filter("content != hub").select(F.greatest("content", "hub").alias("a"), F.least("content", "hub").alias("b")).distinct()
     tried = cut(stars, "stars")
-    links = cut(_verified(tried, docs, text_col, config), "links")
+    # every member of a bucket is in a star, so later rounds need no other shingles
+    held = _shingle_table(tried, docs, text_col, config)
+    links = cut(_verified(tried, held, config), "links")
     roots = components(links)
     signed = cut(buckets.select("band", "key", "content", "degree").join(distinct, "content"), "signed") if not tried.isEmpty() else None
-    most = 4
+    most = 8
     while signed is not None:
         found = cut(_residual_pairs(signed, roots, most, config), "residual")
         new = cut(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "new-pairs")
         fresh = not new.isEmpty()
         if fresh:
-            more = cut(_verified(new, docs, text_col, config), "links")
+            more = cut(_verified(new, held, config), "links")
             tried = tried.union(new)
             if not more.isEmpty():
                 links = links.union(more)
                 roots = components(links)
         elif found.filter("more").isEmpty():
             break
-        most *= 4
+        most *= 16
     named = sk.select("id", "content").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     names = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"))
     return named.join(names, "root", "left").select(F.col("id").alias("doc_id"), F.when(F.col("content").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "content")
