@@ -44,3 +44,17 @@ def repeat_ratio(col):
 def md5_order(seed: int, *cols):
     """A reproducible shuffle: rows ordered by this column."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in cols)))
+
+
+def windows(col, n: int, short: bool = False):
+    """The substrings of length n, in order; with ``short``, one that ends at each character, of up to n.
+
+    Works on the array of characters, bound once, so that a long text takes linear time.
+    """
+
+    def of(a):
+        at = F.sequence(F.lit(0 if short else n - 1), F.size(a) - 1)
+        return F.when(F.size(a) >= (1 if short else n), F.transform(at, lambda i: F.concat_ws("", *(F.get(a, i - k) for k in range(n - 1, -1, -1))))).otherwise(F.array().cast("array<string>"))
+
+    chars = F.when(F.length(col) > 0, F.split(col, "")).otherwise(F.array().cast("array<string>"))
+    return F.element_at(F.transform(F.array(chars), of), 1)

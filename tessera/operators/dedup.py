@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources.written import written
 
 PRIME = (1 << 31) - 1
@@ -51,7 +52,7 @@ def hash_family(n: int, seed: int) -> list[tuple[int, int]]:
 
 def shingles(col, n: int = 3):
     """The different substrings of length n; empty for shorter texts."""
-    return F.when(F.length(col) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substr(col, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(T.windows(col, n))
 
 
 def shingle_hash(x):

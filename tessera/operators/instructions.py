@@ -116,7 +116,7 @@ def distribution_gap(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 
 def top_bigrams(df: DataFrame, text_col: str = "text", n: int = 20, least: int = 3) -> DataFrame:
     t = F.col(text_col)
-    b = df.filter(F.length(t) > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))).alias("bigram"))
+    b = df.select(F.explode(T.windows(t, 2)).alias("bigram"))
     return b.groupBy("bigram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "bigram").limit(n)
 
 

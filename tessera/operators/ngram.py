@@ -29,7 +29,7 @@ def gram_stream(df: DataFrame, n: int, text_col: str, keys: list[str]) -> DataFr
     """
     s = T.strip(F.coalesce(F.col(text_col), F.lit("")))
     base = df.select(*keys, s.alias("_s")).withColumn("n_tokens", F.length("_s")).filter("n_tokens > 0")
-    grams = F.transform(F.sequence(F.lit(1), F.length("_s")), lambda i: F.substr(F.col("_s"), F.greatest(i - (n - 1), F.lit(1)), F.least(i, F.lit(n))))
+    grams = T.windows(F.col("_s"), n, short=True)
     return base.select(*keys, "n_tokens", F.posexplode(grams).alias("i", "g"))
 
 

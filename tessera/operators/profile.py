@@ -46,7 +46,7 @@ def ratio_profile(df: DataFrame, text_col: str = "text", keys: list[str] = ()) -
 def bigram_diversity(df: DataFrame, text_col: str = "text", seq: str = "doc_id", first: int = 500) -> DataFrame:
     """Different over all character bigrams of the first ``first`` texts: the sample is the measure's definition."""
     head = df.select(F.col(seq).alias("_seq"), F.col(text_col).alias("t")).orderBy("_seq").limit(first)
-    pairs = head.select(F.explode(F.when(F.length("t") > 1, F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substr(F.col("t"), i, F.lit(2))))).alias("b"))
+    pairs = head.select(F.explode(T.windows(F.col("t"), 2)).alias("b"))
     return pairs.groupBy("b").count().agg(F.count(F.lit(1)).alias("distinct_bigrams"), F.sum("count").alias("bigrams")).withColumn("diversity", F.col("distinct_bigrams") / F.col("bigrams"))
 
 
