@@ -25,12 +25,12 @@ def char_tokens(col):
 def gram_stream(df: DataFrame, n: int, text_col: str, keys: list[str]) -> DataFrame:
     """A row per token: keys and g, the token after up to n - 1 before it; short at a text's start. n_tokens too.
 
-    Characters are taken by substring of the stripped text: (keys, g, i, n_tokens).
+    Returns (keys, n_tokens, g).
     """
     s = T.strip(F.coalesce(F.col(text_col), F.lit("")))
     base = df.select(*keys, s.alias("_s")).withColumn("n_tokens", F.length("_s")).filter("n_tokens > 0")
     grams = T.windows(F.col("_s"), n, short=True)
-    return base.select(*keys, "n_tokens", F.posexplode(grams).alias("i", "g"))
+    return base.select(*keys, "n_tokens", F.explode(grams).alias("g"))
 
 
 @dataclass
