@@ -10,8 +10,9 @@ shingle) with their counts as weights. Similarity is the probability Jaccard ind
    all components' earliest. Two signatures agree in a component with probability J_P.
 3. Bands of the signature make buckets. Every member is compared with the bucket's hub (the member with most
    bucket mates overall), exactly. Members that are not in their hub's component are then compared with the
-   other members whose signatures leave a similarity of the threshold possible, the most similar first, in
-   rounds of sixteen times as many until none is left. Buckets are dealt in blocks, so none meets in one task.
+   other members whose signatures leave a similarity of the threshold possible (first by the signature, then by
+   a longer one that only such members get), the most similar first, in rounds of sixteen times as many until
+   none is left. Both sides of a bucket are dealt in blocks, so none meets in one task.
 4. Classes are the connected components of the verified pairs (large-star, small-star).
 
 Defined cases: null and empty texts have no shingles and are singletons. Repeated rows are returned each time.
@@ -40,17 +41,18 @@ class ProbMinHashConfig:
     bands: int = 24
     rows: int = 5
     #: a pair's estimate may be so many standard deviations under the threshold and still be verified
-    deviations: float = 2.0
+    deviations: float = 5.0
+    #: components of the longer signature of residual members, a byte each
+    fine: int = 1024
     block: int = 2048
 
     @property
     def size(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def least_estimate(self) -> float:
+    def least_estimate(self, size: int) -> float:
         t = self.threshold
-        return t - self.deviations * (t * (1 - t) / self.size) ** 0.5
+        return t - self.deviations * (t * (1 - t) / size) ** 0.5
 
 
 def shingles(words: list[bytes], k: int) -> np.ndarray:
@@ -207,40 +209,78 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = now
 
 
-def _residual_pairs(buckets: DataFrame, roots: DataFrame, most: int, config: ProbMinHashConfig) -> DataFrame:
-    """Pairs (a, b, more) across components in one bucket that may reach the threshold, the ``most`` likeliest of each residual member.
+def _open_members(buckets: DataFrame, roots: DataFrame, config: ProbMinHashConfig) -> DataFrame:
+    """(band, key, content, root, hub_root, blocks, rest_blocks): the members of the buckets that hold several components.
 
-    A residual member is one outside the component of its bucket's hub. more: it has further pairs than these.
+    Of buckets with the same members only that of the first band stays: the others hold the same pairs.
     """
     b = buckets.join(roots.select(F.col("node").alias("content"), "root"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-    w = b.groupBy("band", "key").agg(F.max_by("root", F.struct("degree", "content")).alias("hub_root"), F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    b = b.join(w.filter("lo < hi").select("band", "key", "hub_root", F.ceil(F.col("n") / config.block).cast("int").alias("blocks")), ["band", "key"])
-    here = b.withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
-    rest = b.filter("root != hub_root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cols = ["band", "key", "block", "content", "root", "sig"]
-    least = config.least_estimate * config.size
+    print_of = [F.bit_xor(F.xxhash64(F.lit(i), F.col("content"))).alias(f"x{i}") for i in range(2)]
+    w = b.groupBy("band", "key").agg(F.max_by("root", F.struct("degree", "content")).alias("hub_root"), F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), *print_of).filter("lo < hi")
+    first = w.groupBy("n", "x0", "x1").agg(F.min_by(F.struct("band", "key", "hub_root"), "band").alias("f")).select("f.*", F.ceil(F.col("n") / config.block).cast("int").alias("blocks"))
+    b = b.join(first, ["band", "key"])
+    rest = b.groupBy("band", "key").agg(F.ceil(F.count_if(F.col("root") != F.col("hub_root")) / config.block).cast("int").alias("rest_blocks"))
+    return b.join(rest, ["band", "key"]).select("band", "key", "content", "root", "hub_root", "blocks", "rest_blocks")
+
+
+def _signs(members: DataFrame, distinct: DataFrame, held: DataFrame, config: ProbMinHashConfig) -> DataFrame:
+    """(content, sig, fine) of the members' contents; fine is a longer signature of which each component keeps a byte."""
+
+    def run(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 64):
+                part = b.slice(start, 64)
+                sets = [np.unique(np.frombuffer(x.as_py(), np.uint64), return_counts=True) for x in part.column(2)]
+                fine = (signatures(sets, config.fine) & np.uint32(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in fine], pa.binary())], ["content", "sig", "fine"])
+
+    wanted = members.select("content").distinct()
+    return wanted.join(distinct, "content").join(held, "content").select("content", "sig", "shingles").mapInArrow(run, "content binary, sig binary, fine binary")
+
+
+def _residual_pairs(members: DataFrame, signs: DataFrame, most: int, config: ProbMinHashConfig) -> DataFrame:
+    """Pairs (a, b, more) across components in one bucket that may reach the threshold, the ``most`` likeliest of each residual member.
+
+    A residual member is one outside the component of its bucket's hub; it meets the bucket's other members in blocks
+    of both. A pair is given in the first band that it shares. more: the member has further pairs than these.
+    """
+    m = members.join(signs, "content")
+    at = lambda n: F.pmod(F.xxhash64(F.lit(n), F.col("content")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["band", "key", "block", "rest_block", "content", "root", "outside", "sig", "fine"]
+    m = m.withColumn("outside", F.col("root") != F.col("hub_root"))
+    here = m.withColumn("block", at("blocks")).withColumn("rest_block", every("rest_blocks"))
+    rest = m.filter("outside").withColumn("rest_block", at("rest_blocks")).withColumn("block", every("blocks"))
+    least, least_fine = config.least_estimate(config.size) * config.size, config.least_estimate(config.fine) * config.fine
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"a": [], "b": [], "more": []}
         if left.num_rows and right.num_rows:
             right = right.rename_columns(cols)
-            read = lambda t: np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, -1)
-            names, others = left.column("content").to_pylist(), right.column("content").to_pylist()
-            _, code = np.unique(np.array([x.hex() for x in left.column("root").to_pylist() + right.column("root").to_pylist()]), return_inverse=True)
-            mine, theirs = code[len(names) :], code[: len(names)]
-            sig = read(left)
-            for i, s in enumerate(read(right)):
-                same = (sig == s).sum(1)
-                k = np.where((same >= least) & (theirs != mine[i]))[0]
-                for j in k[np.argsort(-same[k], kind="stable")][:most]:
+            read = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(t.num_rows, -1)
+            names, others, band = left.column("content").to_pylist(), right.column("content").to_pylist(), left.column("band")[0].as_py()
+            codes: dict[bytes, int] = {}
+            code = lambda t: np.array([codes.setdefault(x, len(codes)) for x in t.column("root").to_pylist()])
+            mine, theirs = code(right), code(left)
+            outside = np.array(left.column("outside").to_pylist())
+            sig, fine = read(left, "sig", np.uint32), read(left, "fine", np.uint8)
+            for i, (s, f) in enumerate(zip(read(right, "sig", np.uint32), read(right, "fine", np.uint8), strict=True)):
+                same = sig == s
+                k = np.where((same.sum(1) >= least) & (theirs != mine[i]))[0]
+                k = k[same[k].reshape(len(k), config.bands, config.rows).all(2).argmax(1) == band]
+                near = (fine[k] == f).sum(1)
+                k, near = k[near >= least_fine], near[near >= least_fine]
+                once = np.array([not outside[j] or names[j] < others[i] for j in k], bool)  # two outside members meet twice
+                k, near = k[once], near[once]
+                for j in k[np.argsort(-near, kind="stable")][:most]:
                     out["a"].append(max(others[i], names[j]))
                     out["b"].append(min(others[i], names[j]))
                     out["more"].append(len(k) > most)
         return pa.table({"a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "more": pa.array(out["more"], pa.bool_())})
 
-    g = ["band", "key", "block"]
+    g = cols[:4]
     rest = rest.select(cols).toDF(*(f"r_{c}" for c in cols))
-    return here.select(cols).groupBy(*g).cogroup(rest.groupBy(*(f"r_{c}" for c in g))).applyInArrow(compare, "a binary, b binary, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return here.select(cols).groupBy(*g).cogroup(rest.groupBy(*(f"r_{c}" for c in g))).applyInArrow(compare, "a binary, b binary, more boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ProbMinHashConfig = ProbMinHashConfig()) -> DataFrame:
@@ -262,10 +302,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = _shingle_table(tried, docs, text_col, config)
     links = cut(_verified(tried, held, config), "links")
     roots = components(links)
-    signed = cut(buckets.select("band", "key", "content", "degree").join(distinct, "content"), "signed") if not tried.isEmpty() else None
+    opened = cut(_open_members(buckets, roots, config), "open")
+    # later rounds only merge components, so they open no other buckets
+    signs = cut(_signs(opened, distinct, held, config), "signs")
     most = 8
-    while signed is not None:
-        found = cut(_residual_pairs(signed, roots, most, config), "residual")
+    while not opened.isEmpty():
+        found = cut(_residual_pairs(opened, signs, most, config), "residual")
         new = cut(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "new-pairs")
         fresh = not new.isEmpty()
         if fresh:
@@ -274,6 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not more.isEmpty():
                 links = links.union(more)
                 roots = components(links)
+                opened = cut(_open_members(buckets, roots, config), "open")
         elif found.filter("more").isEmpty():
             break
         most *= 16
