@@ -33,11 +33,23 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes a write's shuffle files as soon as it is done, while this is set.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: computed once, and safe when executors are lost."""
+    """``df`` written once to the shared folder and read back: computed once, and safe when executors are lost.
+
+    The shuffle files that the write needed go with its end: later steps read the written table.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
