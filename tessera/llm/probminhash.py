@@ -43,7 +43,7 @@ class ProbMinHashConfig:
     #: a pair's estimate may be so many standard deviations under the threshold and still be verified
     deviations: float = 5.0
     #: components of the longer signature of residual members, a byte each
-    fine: int = 1024
+    fine: int = 512
     block: int = 2048
 
     @property
@@ -59,7 +59,7 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
     """64-bit hashes of the k-word shingles, one per position (so repeats are weights)."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = mix64(np.fromiter(map(hash_word, words), np.uint64, len(words)) + np.uint64(1))
+    h = mix64(np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words)) + np.uint64(1))
     k = min(k, len(words))
     out = np.zeros(len(words) - k + 1, np.uint64)
     for j in range(k):
@@ -67,17 +67,17 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
     return out
 
 
-_word_hashes: dict[bytes, int] = {}
+class _WordHashes(dict):
+    """64-bit hashes of words, found on first use; emptied at 300,000 words."""
 
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = self[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        return h
 
-def hash_word(w: bytes) -> int:
-    """A 64-bit hash of a word; kept, and emptied at 300,000 words."""
-    h = _word_hashes.get(w)
-    if h is None:
-        if len(_word_hashes) > 300_000:
-            _word_hashes.clear()
-        h = _word_hashes[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    return h
+
+_word_hashes = _WordHashes()
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
@@ -308,17 +308,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = 8
     while not opened.isEmpty():
         found = cut(_residual_pairs(opened, signs, most, config), "residual")
-        new = cut(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "new-pairs")
-        fresh = not new.isEmpty()
-        if fresh:
-            more = cut(_verified(new, held, config), "links")
-            tried = tried.union(new)
-            if not more.isEmpty():
-                links = links.union(more)
-                roots = components(links)
-                opened = cut(_open_members(buckets, roots, config), "open")
-        elif found.filter("more").isEmpty():
+        # if no member has more pairs, all that are left are tried by now: merged components have no others
+        last = found.filter("more").isEmpty()
+        new = cut(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
+        more = cut(_verified(new, held, config), "links")
+        tried = tried.union(new)
+        linked = not more.isEmpty()
+        if linked:
+            links = links.union(more)
+            roots = components(links)
+        if last:
             break
+        if linked:
+            opened = cut(_open_members(buckets, roots, config), "open")
         most *= 16
     named = sk.select("id", "content").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     names = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"))
