@@ -11,8 +11,8 @@ shingle) with their counts as weights. Similarity is the probability Jaccard ind
 3. Bands of the signature make buckets. Every member is compared with the bucket's hub (the member with most
    bucket mates overall), exactly. Members that are not in their hub's component are then compared with the
    other members whose signatures leave a similarity of the threshold possible (first by the signature, then by
-   a longer one that only such members get), the most similar first, in rounds of sixteen times as many until
-   none is left. Both sides of a bucket are dealt in blocks, so none meets in one task.
+   a longer one that only such members get). They are verified exactly where they meet, and only links leave the
+   task. Both sides of a bucket are dealt in blocks, so none meets in one task.
 4. Classes are the connected components of the verified pairs (large-star, small-star).
 
 Defined cases: null and empty texts have no shingles and are singletons. Repeated rows are returned each time.
@@ -44,7 +44,7 @@ class ProbMinHashConfig:
     deviations: float = 5.0
     #: components of the longer signature of residual members, a byte each
     fine: int = 512
-    block: int = 2048
+    block: int = 1024
 
     @property
     def size(self) -> int:
@@ -224,7 +224,7 @@ def _open_members(buckets: DataFrame, roots: DataFrame, config: ProbMinHashConfi
 
 
 def _signs(members: DataFrame, distinct: DataFrame, held: DataFrame, config: ProbMinHashConfig) -> DataFrame:
-    """(content, sig, fine) of the members' contents; fine is a longer signature of which each component keeps a byte."""
+    """(content, sig, fine, shingles) of the members' contents; fine is a longer signature of which each component keeps a byte."""
 
     def run(batches):
         for b in batches:
@@ -232,29 +232,31 @@ def _signs(members: DataFrame, distinct: DataFrame, held: DataFrame, config: Pro
                 part = b.slice(start, 64)
                 sets = [np.unique(np.frombuffer(x.as_py(), np.uint64), return_counts=True) for x in part.column(2)]
                 fine = (signatures(sets, config.fine) & np.uint32(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in fine], pa.binary())], ["content", "sig", "fine"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in fine], pa.binary()), part.column(2)], ["content", "sig", "fine", "shingles"])
 
     wanted = members.select("content").distinct()
-    return wanted.join(distinct, "content").join(held, "content").select("content", "sig", "shingles").mapInArrow(run, "content binary, sig binary, fine binary")
+    return wanted.join(distinct, "content").join(held, "content").select("content", "sig", "shingles").mapInArrow(run, "content binary, sig binary, fine binary, shingles binary")
 
 
-def _residual_pairs(members: DataFrame, signs: DataFrame, most: int, config: ProbMinHashConfig) -> DataFrame:
-    """Pairs (a, b, more) across components in one bucket that may reach the threshold, the ``most`` likeliest of each residual member.
+def _residual_links(members: DataFrame, signs: DataFrame, config: ProbMinHashConfig) -> DataFrame:
+    """Links (a, b) across components in one bucket: enough of them to join all components that exact similarity links.
 
     A residual member is one outside the component of its bucket's hub; it meets the bucket's other members in blocks
-    of both. A pair is given in the first band that it shares. more: the member has further pairs than these.
+    of both. Pairs are verified where they meet, each in the first band that it shares and once there, the likeliest
+    first; those of components that the block has joined by then are passed over, so no block gives more links than
+    it has members.
     """
     m = members.join(signs, "content")
     at = lambda n: F.pmod(F.xxhash64(F.lit(n), F.col("content")), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["band", "key", "block", "rest_block", "content", "root", "outside", "sig", "fine"]
+    cols = ["band", "key", "block", "rest_block", "content", "root", "outside", "sig", "fine", "shingles"]
     m = m.withColumn("outside", F.col("root") != F.col("hub_root"))
     here = m.withColumn("block", at("blocks")).withColumn("rest_block", every("rest_blocks"))
     rest = m.filter("outside").withColumn("rest_block", at("rest_blocks")).withColumn("block", every("blocks"))
     least, least_fine = config.least_estimate(config.size) * config.size, config.least_estimate(config.fine) * config.fine
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"a": [], "b": [], "more": []}
+        out: dict[str, list] = {"a": [], "b": []}
         if left.num_rows and right.num_rows:
             right = right.rename_columns(cols)
             read = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(t.num_rows, -1)
@@ -262,6 +264,14 @@ def _residual_pairs(members: DataFrame, signs: DataFrame, most: int, config: Pro
             codes: dict[bytes, int] = {}
             code = lambda t: np.array([codes.setdefault(x, len(codes)) for x in t.column("root").to_pylist()])
             mine, theirs = code(right), code(left)
+            parent = list(range(len(codes)))
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            shingles_at = lambda t, i: np.frombuffer(t.column("shingles")[i].as_py(), np.uint64)
             outside = np.array(left.column("outside").to_pylist())
             sig, fine = read(left, "sig", np.uint32), read(left, "fine", np.uint8)
             for i, (s, f) in enumerate(zip(read(right, "sig", np.uint32), read(right, "fine", np.uint8), strict=True)):
@@ -272,15 +282,18 @@ def _residual_pairs(members: DataFrame, signs: DataFrame, most: int, config: Pro
                 k, near = k[near >= least_fine], near[near >= least_fine]
                 once = np.array([not outside[j] or names[j] < others[i] for j in k], bool)  # two outside members meet twice
                 k, near = k[once], near[once]
-                for j in k[np.argsort(-near, kind="stable")][:most]:
-                    out["a"].append(max(others[i], names[j]))
-                    out["b"].append(min(others[i], names[j]))
-                    out["more"].append(len(k) > most)
-        return pa.table({"a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "more": pa.array(out["more"], pa.bool_())})
+                mine_set = shingles_at(right, i) if len(k) else None
+                for j in map(int, k[np.argsort(-near, kind="stable")]):
+                    x, y = find(int(mine[i])), find(int(theirs[j]))
+                    if x != y and j_p(mine_set, shingles_at(left, j)) >= config.threshold - 1e-12:
+                        parent[x] = y
+                        out["a"].append(max(others[i], names[j]))
+                        out["b"].append(min(others[i], names[j]))
+        return pa.table({c: pa.array(v, pa.binary()) for c, v in out.items()})
 
     g = cols[:4]
     rest = rest.select(cols).toDF(*(f"r_{c}" for c in cols))
-    return here.select(cols).groupBy(*g).cogroup(rest.groupBy(*(f"r_{c}" for c in g))).applyInArrow(compare, "a binary, b binary, more boolean")
+    return here.select(cols).groupBy(*g).cogroup(rest.groupBy(*(f"r_{c}" for c in g))).applyInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ProbMinHashConfig = ProbMinHashConfig()) -> DataFrame:
@@ -298,30 +311,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = buckets.groupBy("band", "key").agg(F.max_by("content", F.struct("degree", "content")).alias("hub"))
     stars = members.join(hubs, ["band", "key"]).filter("content != hub").select(F.greatest("content", "hub").alias("a"), F.least("content", "hub").alias("b")).distinct()
     tried = cut(stars, "stars")
-    # every member of a bucket is in a star, so later rounds need no other shingles
+    # every member of a bucket is in a star, so the residual members need no other shingles
     held = _shingle_table(tried, docs, text_col, config)
     links = cut(_verified(tried, held, config), "links")
     roots = components(links)
     opened = cut(_open_members(buckets, roots, config), "open")
-    # later rounds only merge components, so they open no other buckets
-    signs = cut(_signs(opened, distinct, held, config), "signs")
-    most = 8
-    while not opened.isEmpty():
-        found = cut(_residual_pairs(opened, signs, most, config), "residual")
-        # if no member has more pairs, all that are left are tried by now: merged components have no others
-        last = found.filter("more").isEmpty()
-        new = cut(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
-        more = cut(_verified(new, held, config), "links")
-        tried = tried.union(new)
-        linked = not more.isEmpty()
-        if linked:
-            links = links.union(more)
-            roots = components(links)
-        if last:
-            break
-        if linked:
-            opened = cut(_open_members(buckets, roots, config), "open")
-        most *= 16
+    if not opened.isEmpty():
+        more = cut(_residual_links(opened, cut(_signs(opened, distinct, held, config), "signs"), config), "links")
+        if not more.isEmpty():
+            roots = components(links.union(more))
     named = sk.select("id", "content").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     names = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"))
     return named.join(names, "root", "left").select(F.col("id").alias("doc_id"), F.when(F.col("content").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "content")

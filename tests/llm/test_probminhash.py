@@ -71,8 +71,9 @@ def test_classes_are_those_of_brute_force(spark):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.class_id for r in P.near_duplicates(df).collect()}
-    assert got == {i: find(i) for i, _ in rows}
+    for config in (P.ProbMinHashConfig(), P.ProbMinHashConfig(block=3)):
+        got = {r.doc_id: r.class_id for r in P.near_duplicates(df, config=config).collect()}
+        assert got == {i: find(i) for i, _ in rows}
     kept = sorted(r.doc_id for r in P.keep_one(df).collect())
     assert kept == [i for i, _ in rows if find(i) == i]
 
