@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import curriculum, flywheel, instructions, ngram, profile, rules
+from ..operators import curriculum, flywheel, instructions, ngram, profile, rules, training
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,8 +99,22 @@ def label_audit(spark, sf_dir):
     return d.groupBy(F.col("reject_rule").isNull().alias("kept"), "quality").agg(F.count(F.lit(1)).alias("n"))
 
 
+def losses(spark, sf_dir):
+    """A loss for each document: the tables hold none."""
+    return docs(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", (F.col("n_chars") % 997 / 500.0).alias("loss"))
+
+
+def run_comparison(spark, sf_dir):
+    return training.compare_runs(training.run_summary(losses(spark, sf_dir), "lang", "doc_id"))
+
+
+def token_weighted_loss(spark, sf_dir):
+    got = training.token_weighted_loss(losses(spark, sf_dir), ["source"], tokens="n_chars")
+    return got.select("source", "tokens", F.round("weighted_loss", 6).alias("weighted_loss"), F.round("mean_loss", 6).alias("mean_loss"))
+
+
 def queries() -> dict:
-    found = [rule_stats, text_ratios, html_url_counts, length_order_stats, health_by_lang, bigram_diversity, ppl_scores, seed_select, instruction_pairs, type_gap, curriculum_bands, beta_weights, feedback_signals, feedback_adjustments, sft_format, label_audit]
+    found = [run_comparison, token_weighted_loss, rule_stats, text_ratios, html_url_counts, length_order_stats, health_by_lang, bigram_diversity, ppl_scores, seed_select, instruction_pairs, type_gap, curriculum_bands, beta_weights, feedback_signals, feedback_adjustments, sft_format, label_audit]
     return {f.__name__: f for f in found}
 
 
@@ -115,6 +129,8 @@ _PAIRS = "SELECT conv_id, turn, text AS instruction, output FROM (SELECT *, lead
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "run_comparison": "WITH d AS (SELECT lang AS run, doc_id, n_chars % 997 / 500.0::DOUBLE AS loss FROM documents WHERE n_chars IS NOT NULL), s AS (SELECT run, count(DISTINCT doc_id) AS n_steps, arg_min(loss, doc_id) AS first_loss, arg_max(loss, doc_id) AS last_loss, min(loss) AS min_loss FROM d GROUP BY run), p AS (SELECT *, row_number() OVER (ORDER BY run)::INT AS position FROM s) SELECT *, row_number() OVER (ORDER BY min_loss, position) = 1 AS best FROM p",
+        "token_weighted_loss": "WITH d AS (SELECT source, n_chars AS n, n_chars % 997 / 500.0::DOUBLE AS loss FROM documents WHERE n_chars IS NOT NULL) SELECT source, sum(n)::BIGINT AS tokens, round(sum(loss * n) / nullif(sum(n), 0), 6) AS weighted_loss, round(avg(loss), 6) AS mean_loss FROM d GROUP BY source",
         "rule_stats": f"{_CHARS} SELECT {_RULE} AS outcome, count(*) AS n FROM documents JOIN top USING (doc_id) GROUP BY 1",
         "label_audit": f"{_CHARS} SELECT {_RULE} = 'passed' AS kept, quality, count(*) AS cnt FROM documents JOIN top USING (doc_id) JOIN labels USING (doc_id) GROUP BY 1, 2".replace("AS cnt", "AS n"),
         "text_ratios": f"{_CHARS} SELECT doc_id, round(1 - {_COUNT('[一-鿿]')} / length(text), 4) AS non_cn, round(n / length(text), 4) AS repeat, round({_COUNT(chr(91) + chr(92) + 'p{L}' + chr(92) + 'p{N}]')} / length(text), 4) AS effective FROM documents JOIN top USING (doc_id)",
