@@ -60,11 +60,12 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     h = mix64(np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words)) + np.uint64(1))
+    short = np.uint64(len(words) if len(words) < k else 0)
     k = min(k, len(words))
-    out = np.zeros(len(words) - k + 1, np.uint64)
-    for j in range(k):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j] + np.uint64(len(words) if k < 5 else 0))
-    return out
+    out = h[: len(h) - k + 1] + short
+    for j in range(1, k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
+    return mix64(out)
 
 
 class _WordHashes(dict):
@@ -101,8 +102,9 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     while len(e):
         r += 1
         x = mix64(e + np.uint64((r * 0xD1B54A32D192ED03) & (2**64 - 1)))
-        t = t - np.log(((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / w
-        at = doc * m + (mix64(x) % np.uint64(m)).astype(np.int64)
+        # the upper 40 bits give the waiting time, the lower 24 the component; every element has the same share of arrivals in one component
+        t = t - np.log(((x >> np.uint64(24)).astype(float) + 0.5) * 2.0**-40) / w
+        at = doc * m + ((x & np.uint64(0xFFFFFF)) * np.uint64(m) >> np.uint64(24)).astype(np.int64)
         better = t < q[at]
         a, ta = at[better], t[better]
         np.minimum.at(q, a, ta)
