@@ -66,6 +66,8 @@ class Pieces:
         if any(SPACE in x.lstrip(SPACE) for x in normal):
             raise ValueError("a piece holds U+2581 inside: parts can't be cut there")
         self.chars = {x: i for x, i in normal.items() if len(x) == 1}
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        self.char_ids[[ord(x) for x in self.chars]] = list(self.chars.values())
         # better pieces have smaller ranks; equal scores have equal ranks, and then the leftmost is taken
         scores = sorted({-sp.get_score(i) for i in normal.values()})
         rank_of = {s: k for k, s in enumerate(scores)}
@@ -130,126 +132,125 @@ def _heap_merge(part: str, p: Pieces, config: DropoutConfig | None, variant: int
     return out
 
 
-def _array_merge(parts: list[str], p: Pieces, config: DropoutConfig | None, variant: int) -> list[list[int]]:
-    """Parts of like length together: in each round every part takes its best candidate."""
-    n, w = len(parts), max(map(len, parts))
-    ids = np.full((n, w), -1, np.int64)
-    lengths = np.array([len(x) for x in parts])
-    ids[np.repeat(np.arange(n), lengths), np.concatenate([np.arange(k) for k in lengths])] = [p.chars.get(c, -1) for x in parts for c in x]
-    start = np.tile(np.arange(w, dtype=np.int64), (n, 1))
-    count = lengths.copy()
-    drop = config is not None and config.dropout > 0
-    keys = np.array([part_key(x, config, variant) for x in parts], np.uint64) if drop else None
-    out: list = [None] * n
+def _array_merge(parts: list[str], variants: list[int], p: Pieces, config: DropoutConfig | None) -> list[bytes]:
+    """Parts of like length together: in each round every part takes its best candidate. A column is a part.
+
+    Pieces are linked by position: ``ids``, ``after`` and ``prior`` hold the piece that starts there and its neighbours'
+    places. ``agenda`` holds the rank of the candidate that starts at a place, with the place in its low bits.
+    """
+    n = len(parts)
+    lengths = np.fromiter(map(len, parts), np.int64, n)
+    w = int(lengths.max())
+    offset = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(n), lengths)
+    ids = np.full((w + 1, n), -1, np.int64)
+    ids[np.arange(len(owner)) - offset[owner], owner] = p.char_ids[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")]
+    after = np.repeat(np.arange(1, w + 2), n)
+    prior = np.repeat(np.arange(-1, w), n)
+    keys = np.fromiter((part_key(x, config, v) for x, v in zip(parts, variants, strict=True)), np.uint64, n) if config and config.dropout else None
+    none = np.int64(1) << 60
+
+    def candidates(x, y, rows, a, b, e) -> tuple[np.ndarray, np.ndarray]:
+        """Agenda entries and joins of the pairs of pieces x at a and y at b, which ends at e."""
+        pair = x << 20 | y
+        at = np.minimum(np.searchsorted(p.keys, pair), len(p.keys) - 1)
+        good = p.keys[at] == pair
+        if keys is not None:
+            k = np.nonzero(good)[0]
+            good[k[skipped(keys[rows[k]], a[k], b[k], e[k], config)]] = False
+        return np.where(good, p.rank[at] << 6 | a, none), p.join[at]
+
+    place, row = np.repeat(np.arange(w), n), np.tile(np.arange(n), w)
+    flat = ids.reshape(-1)
+    agenda, join = candidates(flat[: w * n], flat[n:], row, place, place + 1, np.minimum(place + 2, lengths[row]))
+    agenda = agenda.reshape(w, n)
     live = np.arange(n)
-    far = np.int64(1) << 40
-    ends = lengths.copy()
-
-    def ranks(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = rows[:, :-1], rows[:, 1:]
-        key = np.where((a >= 0) & (b >= 0), a << 20 | b, -1)
-        at = np.minimum(np.searchsorted(p.keys, key), len(p.keys) - 1)
-        ok = p.keys[at] == key
-        return np.where(ok, p.rank[at], far), p.join[at]
-
-    rank, join = ranks(ids)
-    if drop:
-        e = np.concatenate([start[:, 2:], np.full((n, 1), w)], 1)
-        e = np.where(np.arange(w - 1)[None, :] + 2 < lengths[:, None], e, lengths[:, None])
-        rank[skipped(keys[:, None], start[:, :-1], start[:, 1:], e, config).reshape(rank.shape)] = far
-    cur_ids, cur_start, cur_rank, cur_join = ids, start, rank, join
-    while len(live):
-        best = cur_rank.argmin(1) if cur_rank.shape[1] else np.zeros(len(live), int)
-        more = cur_rank[np.arange(len(live)), best] < far if cur_rank.shape[1] else np.zeros(len(live), bool)
-        for r in np.nonzero(~more)[0]:
-            k = live[r]
-            c = count[k]
-            row, at = cur_ids[r, :c].tolist(), cur_start[r, :c]
-            out[k] = row if min(row) >= 0 else [y for x, s in zip(row, at.tolist(), strict=True) for y in ([x] if x >= 0 else p.ids_of_char(parts[k][s]))]
-        live, best = live[more], best[more]
-        cur_ids, cur_start, cur_rank, cur_join = cur_ids[more], cur_start[more], cur_rank[more], cur_join[more]
-        if not len(live):
+    while True:
+        best = agenda.min(0)
+        act = np.nonzero(best < none)[0]
+        if not len(act):
             break
-        rows = np.arange(len(live))
-        cur_ids[rows, best] = cur_join[rows, best]
-        # close the gap at best + 1
-        cols = np.arange(w - 1)[None, :]
-        src = cols + (cols > best[:, None])
-        src_full = np.concatenate([src, np.full((len(live), 1), w - 1)], 1)
-        cur_ids = np.take_along_axis(cur_ids, src_full, 1)
-        cur_start = np.take_along_axis(cur_start, src_full, 1)
-        count[live] -= 1
-        cur_ids[rows, count[live]] = -1
-        src_r = np.minimum(np.arange(w - 1)[None, :] + (np.arange(w - 1)[None, :] > best[:, None]), w - 2)
-        cur_rank, cur_join = np.take_along_axis(cur_rank, src_r, 1), np.take_along_axis(cur_join, src_r, 1)
-        cur_rank[rows, np.maximum(count[live] - 1, 0)] = far
-        for side in (-1, 0):
-            a = best + side
-            ok = (a >= 0) & (a + 1 < count[live])
-            r, a = rows[ok], a[ok]
-            x, y = cur_ids[r, a], cur_ids[r, a + 1]
-            key = np.where((x >= 0) & (y >= 0), x << 20 | y, -1)
-            at = np.minimum(np.searchsorted(p.keys, key), len(p.keys) - 1)
-            good = p.keys[at] == key
-            if drop and len(r):
-                k = live[r]
-                e = np.where(a + 2 < count[k], cur_start[r, np.minimum(a + 2, w - 1)], ends[k])
-                good &= ~skipped(keys[k], cur_start[r, a], cur_start[r, a + 1], e, config)
-            cur_rank[r, a], cur_join[r, a] = np.where(good, p.rank[at], far), p.join[at]
+        best = best[act]
+        if len(act) < 0.7 * agenda.shape[1]:
+            agenda, live = agenda[:, act], live[act]
+            act = np.arange(len(act))
+        a, r = best & 63, live[act]
+        at_a = a * n + r
+        b = after[at_a]
+        at_b = b * n + r
+        e, left = after[at_b], prior[at_a]
+        at_e = e * n + r
+        piece = flat[at_a] = join[at_a]
+        flat[at_b], after[at_a], prior[at_e] = -2, e, a
+        agenda[b, act] = none
+        has = np.nonzero(left >= 0)[0]
+        r2, l2, a2 = r[has], left[has], a[has]
+        both = candidates(np.concatenate([piece, flat[l2 * n + r2]]), np.concatenate([flat[at_e], piece[has]]), np.concatenate([r, r2]), np.concatenate([a, l2]), np.concatenate([e, a2]), np.concatenate([after[at_e], e[has]]))
+        agenda[np.concatenate([a, l2]), np.concatenate([act, act[has]])] = both[0]
+        join[np.concatenate([at_a, l2 * n + r2])] = both[1]
+    ends = ids[:w].T
+    kept = (ends != -2) & (np.arange(w) < lengths[:, None])
+    raw = ends[kept].astype("<u4").tobytes()
+    stop = 4 * np.cumsum(kept.sum(1))
+    out = [raw[s:e] for s, e in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+    for k in np.nonzero(((ends == -1) & kept).any(1))[0]:  # characters without a piece
+        c = np.nonzero(kept[k])[0]
+        out[k] = np.array([y for x, s in zip(ends[k, c].tolist(), c.tolist(), strict=True) for y in ([x] if x >= 0 else p.ids_of_char(parts[k][s]))], "<u4").tobytes()
     return out
 
 
-def encode_parts(parts: list[str], p: Pieces, config: DropoutConfig | None = None, variant: int = 0) -> list[list[int]]:
+def encode_keyed(parts: list[str], variants: list[int], p: Pieces, config: DropoutConfig | None) -> list[bytes]:
+    """The ids of each part in its variant, as little-endian uint32 bytes."""
     out: list = [None] * len(parts)
-    by: dict[int, list[int]] = {}
-    for i, x in enumerate(parts):
-        if len(x) == 1:
-            out[i] = [p.chars[x]] if x in p.chars else p.ids_of_char(x)
-        elif len(x) > WIDE:
-            out[i] = _heap_merge(x, p, config, variant)
-        else:
-            by.setdefault((len(x) + 3) // 4, []).append(i)
-    for group in by.values():
-        for s in range(0, len(group), 4096):
-            some = group[s : s + 4096]
-            for i, ids in zip(some, _array_merge([parts[i] for i in some], p, config, variant), strict=True):
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    order = np.argsort(lengths, kind="stable")
+    one, wide = np.searchsorted(lengths[order], [1, WIDE], "right")
+    for i in order[:one].tolist():
+        x = parts[i]
+        out[i] = np.array([p.chars[x]] if x in p.chars else p.ids_of_char(x), "<u4").tobytes()
+    for i in order[wide:].tolist():
+        out[i] = np.array(_heap_merge(parts[i], p, config, variants[i]), "<u4").tobytes()
+    for at in np.split(order[one:wide], np.nonzero(np.diff((lengths[order[one:wide]] - 1) // 8))[0] + 1):
+        for s in range(0, len(at), 4096):
+            some = at[s : s + 4096].tolist()
+            for i, ids in zip(some, _array_merge([parts[i] for i in some], [variants[i] for i in some], p, config), strict=True):
                 out[i] = ids
     return out
 
 
+def encode_parts(parts: list[str], p: Pieces, config: DropoutConfig | None = None, variant: int = 0) -> list[list[int]]:
+    return [np.frombuffer(x, "<u4").tolist() for x in encode_keyed(parts, [variant] * len(parts), p, config)]
+
+
+def split_parts(text: str) -> list[list[str]]:
+    """The parts of a text, in runs between its literal U+2581."""
+    return [PART.findall(x.replace(" ", SPACE)) for x in (" " + text).split(SPACE)] if text else []
+
+
 class Encoder:
     """Encodes texts to ids as little-endian uint32 bytes; parts are kept, and emptied at ``most``."""
 
-    def __init__(self, path: str, config: DropoutConfig | None = None, most: int = 250_000):
+    def __init__(self, path: str, config: DropoutConfig | None = None, most: int = 1_000_000):
         self.p, self.config, self.most = Pieces(path), config, most
         self.cache: dict[tuple, dict[str, bytes]] = {}
         self.literal = np.array(self.p.ids_of_char(SPACE), "<u4").tobytes()
 
     def encode(self, texts: list[str], variants: list[int], config: DropoutConfig | None) -> list[bytes]:
-        split, new = [], {}
-        for t, v in zip(texts, variants, strict=True):
-            if not t:
-                split.append(None)
-                continue
-            kept = self.cache.setdefault((config, v), {})
-            runs = [PART.findall(x.replace(" ", SPACE)) for x in (" " + t).split(SPACE)]
-            need = new.setdefault(v, {})
-            for parts in runs:
-                for x in parts:
-                    if x not in kept:
-                        need[x] = None
-            split.append(runs)
-        for v, need in new.items():
-            parts, kept = list(need), self.cache[config, v]
-            for x, ids in zip(parts, encode_parts(parts, self.p, config, v), strict=True):
-                kept[x] = np.array(ids, "<u4").tobytes()
-        out = []
-        for runs, v in zip(split, variants, strict=True):
-            get = self.cache[config, v].__getitem__ if runs else None
-            out.append(self.literal.join([b"".join(map(get, parts)) for parts in runs]) if runs else b"")
+        return self.encode_split(list(map(split_parts, texts)), variants, config)
+
+    def encode_split(self, texts: list[list[list[str]]], variants: list[int], config: DropoutConfig | None) -> list[bytes]:
+        """Like :meth:`encode`, of texts as from :func:`split_parts`."""
         if sum(map(len, self.cache.values())) > self.most:
             self.cache.clear()
-        return out
+        found: dict[int, set[str]] = {}
+        for runs, v in zip(texts, variants, strict=True):
+            found.setdefault(v, set()).update(*runs)
+        kept = {v: self.cache.setdefault((config, v), {}) for v in found}
+        new = [(x, v) for v, held in found.items() for x in held.difference(kept[v])]
+        parts, of = [x for x, _ in new], [v for _, v in new]
+        for x, v, ids in zip(parts, of, encode_keyed(parts, of, self.p, config), strict=True):
+            kept[v][x] = ids
+        return [self.literal.join([b"".join(map(kept[v].__getitem__, x)) for x in runs]) for runs, v in zip(texts, variants, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids (as from :meth:`encode`)."""
@@ -276,7 +277,8 @@ def encode_documents(docs: DataFrame, model: str, config: DropoutConfig = Dropou
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
                 texts, variants = part.column(2).to_pylist(), part.column(1).to_pylist()
-                ids, plain = e.encode(texts, variants, config), e.encode(texts, [0] * len(texts), None)
+                split = list(map(split_parts, texts))
+                ids, plain = e.encode_split(split, variants, config), e.encode_split(split, [0] * len(texts), None)
                 both = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in y], pa.list_(pa.int32())) for y in (ids, plain)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *both], ["doc_id", "variant", "text", "ids", "plain"])
 
@@ -311,7 +313,8 @@ def digest(docs: DataFrame, model: str, config: DropoutConfig = DropoutConfig(),
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
                 texts, variants = part.column(2).to_pylist(), part.column(1).to_pylist()
-                ids, plain = e.encode(texts, variants, config), e.encode(texts, [0] * len(texts), None)
+                split = list(map(split_parts, texts))
+                ids, plain = e.encode_split(split, variants, config), e.encode_split(split, [0] * len(texts), None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *(pa.array([len(x) // 4 for x in y], pa.int64()) for y in (ids, plain)), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([e.decode(x) == t for x, t in zip(ids, texts, strict=True)])],
                     ["doc_id", "variant", "n_pieces", "n_plain", "ids_crc32", "lossless"],
