@@ -33,6 +33,8 @@ from .common import mix64
 SPACE = "▁"
 PART = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 WIDE = 48
+#: no pair of pieces, in the table of joins
+NO_PAIR = np.int64(-(1 << 60))
 
 
 @dataclass(frozen=True)
@@ -78,17 +80,38 @@ class Pieces:
                 if a is not None and b is not None:
                     joins[a << 20 | b] = (i, rank_of[-sp.get_score(i)])
         self.joins = joins
-        self.keys = np.array(sorted(joins), np.int64)
-        both = [joins[k] for k in self.keys.tolist()]
-        self.join = np.array([x[0] for x in both] or [0], np.int64)
-        self.rank = np.array([x[1] for x in both] or [0], np.int64)
+        # an open-addressed table of the joins: pair, rank and joined piece by slot
+        self.bits = max(10, (4 * len(joins)).bit_length())
+        size = 1 << self.bits
+        self.pair, self.rank, self.join = np.full(size, NO_PAIR), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for k, slot in zip(joins, self.slots(np.array(list(joins), np.int64)).tolist(), strict=True):
+            while self.pair[slot] != NO_PAIR:
+                slot = (slot + 1) % size
+            self.pair[slot], (self.join[slot], self.rank[slot]) = k, joins[k]
+
+    def slots(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def found(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs have a join (their places), and the slots of these."""
+        slot = self.slots(pairs)
+        got = self.pair[slot]
+        probe = np.nonzero((got != pairs) & (got != NO_PAIR))[0]
+        while len(probe):
+            slot[probe] = (slot[probe] + 1) & ((1 << self.bits) - 1)
+            got[probe] = self.pair[slot[probe]]
+            probe = probe[(got[probe] != pairs[probe]) & (got[probe] != NO_PAIR)]
+        at = np.nonzero(got == pairs)[0]
+        return at, slot[at]
 
     def ids_of_char(self, c: str) -> list[int]:
         return [int(self.byte[b]) for b in c.encode()]
 
 
-def part_key(part: str, config: DropoutConfig, variant: int) -> int:
-    return zlib.crc32(part.encode(), config.seed & 0xFFFFFFFF) << 16 ^ (variant * 0x9E3779B9 & 0xFFFFFFFF)
+def part_keys(parts: list[str], variants: list[int], config: DropoutConfig) -> np.ndarray:
+    seed = config.seed & 0xFFFFFFFF
+    crc = np.array([zlib.crc32(x.encode(), seed) for x in parts], np.int64)
+    return (crc << 16 ^ (np.array(variants, np.int64) * 0x9E3779B9 & 0xFFFFFFFF)).view(np.uint64)
 
 
 def skipped(key, start, middle, end, config: DropoutConfig):
@@ -102,7 +125,7 @@ def _heap_merge(part: str, p: Pieces, config: DropoutConfig | None, variant: int
     n = len(part)
     ids = [p.chars.get(c, -1) for c in part]
     right, left, end = [*range(1, n), -1], [-1, *range(n - 1)], list(range(1, n + 1))
-    key = part_key(part, config, variant) if config and config.dropout else None
+    key = part_keys([part], [variant], config)[0] if config and config.dropout else None
     heap: list[tuple] = []
 
     def offer(a: int) -> None:
@@ -147,18 +170,18 @@ def _array_merge(parts: list[str], variants: list[int], p: Pieces, config: Dropo
     ids[np.arange(len(owner)) - offset[owner], owner] = p.char_ids[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")]
     after = np.repeat(np.arange(1, w + 2), n)
     prior = np.repeat(np.arange(-1, w), n)
-    keys = np.fromiter((part_key(x, config, v) for x, v in zip(parts, variants, strict=True)), np.uint64, n) if config and config.dropout else None
+    keys = part_keys(parts, variants, config) if config and config.dropout else None
     none = np.int64(1) << 60
 
     def candidates(x, y, rows, a, b, e) -> tuple[np.ndarray, np.ndarray]:
         """Agenda entries and joins of the pairs of pieces x at a and y at b, which ends at e."""
-        pair = x << 20 | y
-        at = np.minimum(np.searchsorted(p.keys, pair), len(p.keys) - 1)
-        good = p.keys[at] == pair
+        k, slot = p.found(x << 20 | y)
         if keys is not None:
-            k = np.nonzero(good)[0]
-            good[k[skipped(keys[rows[k]], a[k], b[k], e[k], config)]] = False
-        return np.where(good, p.rank[at] << 6 | a, none), p.join[at]
+            stays = ~skipped(keys[rows[k]], a[k], b[k], e[k], config)
+            k, slot = k[stays], slot[stays]
+        entry, joined = np.full(len(x), none), np.zeros(len(x), np.int64)
+        entry[k], joined[k] = p.rank[slot] << 6 | a[k], p.join[slot]
+        return entry, joined
 
     place, row = np.repeat(np.arange(w), n), np.tile(np.arange(n), w)
     flat = ids.reshape(-1)
@@ -246,10 +269,11 @@ class Encoder:
         for runs, v in zip(texts, variants, strict=True):
             found.setdefault(v, set()).update(*runs)
         kept = {v: self.cache.setdefault((config, v), {}) for v in found}
-        new = [(x, v) for v, held in found.items() for x in held.difference(kept[v])]
-        parts, of = [x for x, _ in new], [v for _, v in new]
-        for x, v, ids in zip(parts, of, encode_keyed(parts, of, self.p, config), strict=True):
-            kept[v][x] = ids
+        new = {v: list(held.difference(kept[v])) for v, held in found.items()}
+        parts, of = [x for y in new.values() for x in y], [v for v, y in new.items() for _ in y]
+        ids = iter(encode_keyed(parts, of, self.p, config))
+        for v, y in new.items():
+            kept[v].update(zip(y, ids, strict=False))
         return [self.literal.join([b"".join(map(kept[v].__getitem__, x)) for x in runs]) for runs, v in zip(texts, variants, strict=True)]
 
     def decode(self, ids: bytes) -> str:
@@ -274,8 +298,8 @@ def encode_documents(docs: DataFrame, model: str, config: DropoutConfig = Dropou
     def run(batches):
         e = encoder(model)
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
+            for s in range(0, b.num_rows, 1024):
+                part = b.slice(s, 1024)
                 texts, variants = part.column(2).to_pylist(), part.column(1).to_pylist()
                 split = list(map(split_parts, texts))
                 ids, plain = e.encode_split(split, variants, config), e.encode_split(split, [0] * len(texts), None)
@@ -310,8 +334,8 @@ def digest(docs: DataFrame, model: str, config: DropoutConfig = DropoutConfig(),
     def run(batches):
         e = encoder(model)
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
+            for s in range(0, b.num_rows, 1024):
+                part = b.slice(s, 1024)
                 texts, variants = part.column(2).to_pylist(), part.column(1).to_pylist()
                 split = list(map(split_parts, texts))
                 ids, plain = e.encode_split(split, variants, config), e.encode_split(split, [0] * len(texts), None)
