@@ -298,8 +298,8 @@ def _residual_links(members: DataFrame, signs: DataFrame, config: ProbMinHashCon
     return here.select(cols).groupBy(*g).cogroup(rest.groupBy(*(f"r_{c}" for c in g))).applyInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ProbMinHashConfig = ProbMinHashConfig()) -> DataFrame:
-    """(doc_id, class_id, content) of every row of ``docs``; content is null for texts without words."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ProbMinHashConfig = ProbMinHashConfig()) -> DataFrame:
+    """(id, content, root) of every row of ``docs``: root is the smallest content of its class; both are null for texts without words."""
     sk = cut(sketches(docs, id_col, text_col, config), "sketches")
     distinct = sk.filter("content IS NOT NULL").groupBy("content").agg(F.first("sig").alias("sig"))
     size = 4 * config.rows
@@ -322,19 +322,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = cut(_residual_links(opened, cut(_signs(opened, distinct, held, config), "signs"), config), "links")
         if not more.isEmpty():
             roots = components(links.union(more))
-    named = sk.select("id", "content").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    return sk.select("id", "content").join(roots.withColumnRenamed("node", "content"), "content", "left").select("id", "content", F.coalesce("root", "content").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ProbMinHashConfig = ProbMinHashConfig()) -> DataFrame:
+    """(doc_id, class_id, content) of every row of ``docs``; content is null for texts without words."""
+    named = classes(docs, id_col, text_col, config)
     names = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"))
     return named.join(names, "root", "left").select(F.col("id").alias("doc_id"), F.when(F.col("content").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "content")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ProbMinHashConfig = ProbMinHashConfig()) -> DataFrame:
-    """One row of each class (that with the smallest id; of repeated rows one), and every row without words.
+    """One row of each class (that with the smallest id, nulls last, then the smallest content; of repeated rows one),
+    and every row without words.
 
-    The rows that go are found from ids and digests alone; the texts are then read once and matched with them.
+    A class is told by its root: ids may be null or repeat on different texts. The rows that go are found from ids
+    and digests alone; the texts are then read once and matched with them.
     """
-    near = near_duplicates(docs, id_col, text_col, config)
-    w = near.filter("content IS NOT NULL AND doc_id IS NOT DISTINCT FROM class_id").groupBy("doc_id").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n"))
-    kept = cut(w, "kept")
+    each = classes(docs, id_col, text_col, config).filter("root IS NOT NULL").groupBy("root", "id", "content").agg(F.count(F.lit(1)).alias("n"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content", "n")).alias("f"))
+    kept = cut(first.select("f.id", "f.content", "f.n"), "kept")
 
     k = docs.columns.index(text_col)
 
@@ -344,8 +351,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([content_of(x) if x else None for x in words], pa.binary())], [*b.schema.names, "_content"])
 
     held = docs.mapInArrow(contents, StructType([*docs.schema.fields, StructField("_content", BinaryType())]))
-    keys = kept.select(F.col("doc_id").alias("_id"), F.col("content").alias("_kept"))
+    keys = kept.select(F.col("id").alias("_id"), F.col("content").alias("_kept"))
     joined = held.filter("_content IS NOT NULL").join(keys.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_content") == F.col("_kept")), "left_semi")
     if not kept.filter("n > 1").isEmpty():  # whole rows are repeated
-        joined = joined.dropDuplicates([id_col])
+        joined = joined.dropDuplicates([id_col, "_content"])
     return joined.unionByName(held.filter("_content IS NULL")).select(*docs.columns)

@@ -85,3 +85,12 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert got == [(-1, -1), (-1, 1), (1, 1), (1, 1), (3, 3), (3, 3)]
     assert P.near_duplicates(df.limit(0)).count() == 0
     assert P.keep_one(df.limit(0)).columns == df.columns
+
+
+def test_one_row_of_each_class_stays_whatever_its_ids(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (None, text["c"] + " more"), (None, text["c"])]
+    rows += [(5, text["d"]), (5, text["e"]), (5, text["e"]), (9, text["e"]), (None, text["e"]), (7, text["f"]), (None, text["f"]), (None, None), (None, "")]
+    kept = P.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = Counter((r.doc_id, (r.text or "")[:1]) for r in kept)
+    assert got == {(None, "a"): 1, (None, "b"): 1, (None, "c"): 1, (5, "d"): 1, (5, "e"): 1, (7, "f"): 1, (None, ""): 2}
