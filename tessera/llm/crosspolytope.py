@@ -6,6 +6,8 @@ rows are stored in every table under their own bucket; a query visits, in each t
 buckets (multiprobe: by how far the query is from each axis). Candidates are ranked by their exact cosine in
 double precision on the original vectors, inside the bucket, and only each bucket's best rows leave it.
 Buckets of over ``block`` rows are dealt in blocks that are searched apart, so a hot bucket is many tasks.
+Query rows whose buckets hold fewer than ``k`` ids are then compared with all rows of their length, in blocks of
+both; so a query has fewer than ``k`` answers only where no more ids exist.
 
 Defined cases: vectors null, zero, or holding null or non-finite components take no part. Vectors of different
 lengths are never compared. Rows that repeat id and vector count once, and a query never finds rows of its own
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 @dataclass(frozen=True)
 class CrossPolytopeConfig:
@@ -130,22 +134,19 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(good)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", config: CrossPolytopeConfig = CrossPolytopeConfig()) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row the ``k`` nearest rows found, other than its own id's."""
-    stored = _hashed(valid(vectors, id_col, vec_col), lambda x: own_buckets(x, config))
-    asked = _hashed(valid(queries, id_col, vec_col), lambda x: probe_buckets(x, config))
-    g = ["dim", "tab", "bucket"]
-    blocks = stored.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) / config.block).cast("int").alias("blocks"))
-    stored = stored.join(blocks, g).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    asked = asked.join(blocks, g).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    g.append("block")
-    asked = asked.select(*g, "id", "vec").toDF(*(f"q_{c}" for c in [*g, "id", "vec"]))
+def _search(stored: DataFrame, asked: DataFrame, g: list[str], k: int) -> DataFrame:
+    """(query_id, dim, query, vec_id, score): the ``k`` nearest ids of each query row in each group ``g`` that it asks.
+
+    ``query`` tells a query's row by a hash of its vector.
+    """
+    asked = asked.select(*g, "id", "vec", F.xxhash64("vec").alias("query")).toDF(*(f"q_{c}" for c in [*g, "id", "vec", "query"]))
 
     def search(rows: pa.Table, probes: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        d = 0
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if rows.num_rows and probes.num_rows:
             d = rows.column("dim")[0].as_py()
-            ids, q = rows.column("id").to_numpy(), probes.column("q_id").to_numpy()
+            ids, q, names = rows.column("id").to_numpy(), probes.column("q_id").to_numpy(), probes.column("q_query").to_numpy()
             x = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.float64).reshape(-1, d)
             y = np.frombuffer(b"".join(probes.column("q_vec").to_pylist()), np.float64).reshape(-1, d)
             by = np.argsort(ids, kind="stable")
@@ -154,18 +155,56 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
             once.sort()  # rows that repeat id and vector
             ids, x = ids[once], x[once]
             nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+            starts = np.nonzero(np.r_[True, ids[1:] != ids[:-1]])[0]
+            several = [(i, j) for i, j in zip(starts, [*starts[1:], len(ids)], strict=True) if j - i > 1]
             for s in range(0, len(q), 512):
                 cos = (y[s : s + 512] @ x.T) / (ny[s : s + 512, None] * nx[None, :])
+                for i, j in several:  # of an id's vectors the nearest
+                    best = cos[:, i:j].argmax(1)
+                    cos[:, i:j] = np.where(np.arange(j - i)[None, :] == best[:, None], cos[:, i:j], -np.inf)
                 cos[q[s : s + 512, None] == ids[None, :]] = -np.inf
                 # a matrix product may differ in its last bits between equal columns: rank without those, smaller ids first
                 top = np.argsort(-np.round(cos, 13), axis=1, kind="stable")[:, :k]
                 fine = np.isfinite(np.take_along_axis(cos, top, 1))
                 a, b = s + np.nonzero(fine)[0], top[fine]
-                new = q[a], ids[b], np.einsum("ij,ij->i", y[a], x[b]) / (ny[a] * nx[b])
+                new = q[a], names[a], ids[b], np.einsum("ij,ij->i", y[a], x[b]) / (ny[a] * nx[b])
                 out = [np.concatenate(z) for z in zip(out, new, strict=True)]
-        return pa.table({"query_id": out[0], "vec_id": out[1], "score": out[2]})
+        return pa.table({"query_id": out[0], "dim": pa.array(np.full(len(out[0]), d, np.int32)), "query": out[1], "vec_id": out[2], "score": out[3]})
+
+    return stored.select(*g, "id", "vec").groupBy(*g).cogroup(asked.groupBy(*(f"q_{c}" for c in g))).applyInArrow(search, "query_id long, dim int, query long, vec_id long, score double")
+
 
-    found = stored.select(*g, "id", "vec").groupBy(*g).cogroup(asked.groupBy(*(f"q_{c}" for c in g))).applyInArrow(search, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def _best(found: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The ``k`` best of the different ids found for each ``by``, with their rank."""
+    once = found.groupBy(*by, "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _search_all(rows: DataFrame, short: DataFrame, k: int, config: CrossPolytopeConfig) -> DataFrame:
+    """As ``_search``, with every row of its length for each query of ``short`` (dim, id, vec): blocks of rows meet blocks of queries."""
+    count = lambda t, c: t.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / config.block).cast("int").alias(c))
+    sizes = count(rows, "blocks").join(count(short, "q_blocks"), "dim")
+    at = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = rows.join(F.broadcast(sizes), "dim").withColumn("block", at("blocks", "id")).withColumn("q_block", every("q_blocks"))
+    asked = short.join(F.broadcast(sizes), "dim").withColumn("q_block", at("q_blocks", "id", "vec")).withColumn("block", every("blocks"))
+    return _search(stored, asked, ["dim", "block", "q_block"], k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", config: CrossPolytopeConfig = CrossPolytopeConfig()) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query row the ``k`` nearest rows found, other than its own id's; all rows where there are fewer."""
+    rows, wanted = valid(vectors, id_col, vec_col), valid(queries, id_col, vec_col)
+    stored, asked = _hashed(rows, lambda x: own_buckets(x, config)), _hashed(wanted, lambda x: probe_buckets(x, config))
+    g = ["dim", "tab", "bucket"]
+    blocks = stored.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) / config.block).cast("int").alias("blocks"))
+    stored = stored.join(blocks, g).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    asked = asked.join(blocks, g).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    row = ["query_id", "dim", "query"]
+    found = cut(_best(_search(stored, asked, [*g, "block"], k), row, k).select(*row, "vec_id", "score"), "nearest")
+    plain = lambda t: _hashed(t, lambda x: np.zeros((len(x), 1), np.int64)).select("dim", "id", "vec")
+    full = found.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("id"), "dim", "query")
+    short = cut(plain(wanted).distinct().withColumn("query", F.xxhash64("vec")).join(full, ["id", "dim", "query"], "left_anti").select("dim", "id", "vec"), "short")
+    if not short.isEmpty():
+        found = found.unionByName(_search_all(plain(rows), short, k, config).select(*found.columns))
+    return _best(found, ["query_id"], k).select("query_id", "rank", "vec_id", "score")

@@ -57,3 +57,25 @@ def test_recall_on_the_table(spark):
     for g in C.nearest(df, df.filter("vec_id % 50 = 0")).collect():
         got.setdefault(g.query_id, set()).add(g.vec_id)
     assert np.mean([j in got[q] for q, w in exact(rows, 5).items() for j, _ in w]) >= 0.9
+
+
+def test_queries_with_few_rows_in_their_buckets_still_find_k(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6, 64))
+    pair = r.normal(size=16)
+    far = r.normal(size=32)
+    cluster = r.normal(size=32) + r.normal(size=(300, 32)) * 1e-3
+    rows = [(50 * i, v.tolist()) for i, v in enumerate(x)] + [(1000, pair.tolist()), (1050, (-pair).tolist())]
+    rows += [(2001 + i, v.tolist()) for i, v in enumerate(cluster)] + [(3000 + 50 * i, (s * far + r.normal(size=32) * 0.1).tolist()) for i, s in enumerate([1, -1, 1, -1])]
+    rows += [(4001, (r.normal(size=8) * 0.01 + 1).tolist()) for _ in range(9)] + [(4001 + i, r.normal(size=8).tolist()) for i in range(1, 7)] + [(4050, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = exact(rows, 200)  # all rows: an id with several vectors is there several times
+    for config in (C.CrossPolytopeConfig(), C.CrossPolytopeConfig(block=4)):
+        got = {}
+        for g in C.nearest(df, df.filter("vec_id % 50 = 0"), config=config).orderBy("query_id", "rank").collect():
+            got.setdefault(g.query_id, []).append((g.vec_id, g.score))
+        assert {q: len(v) for q, v in got.items()} == {q: min(5, len({j for j, _ in w})) for q, w in want.items()}
+        for q in (0, 50, 100, 150, 200, 250):
+            assert [j for j, _ in got[q]] == [j for j, _ in want[q]]
+        assert [j for j, _ in got[1000]] == [1050] and abs(got[1000][0][1] + 1) < 1e-9
+        assert len({j for j, _ in got[4050]}) == 5 and got[4050][0][0] == 4001
