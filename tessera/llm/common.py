@@ -58,6 +58,14 @@ def words_text(col):
     return F.trim(F.translate(F.coalesce(col, F.lit("")), WS, " " * len(WS)))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (case aside)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def let(value, body):
     """``body(v)`` with ``value`` evaluated once per row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
