@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import IntegerType
 
 #: fixed values: the white space that Python's str.strip takes, as a character class for Java and RE2
 SPACES = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -32,9 +36,27 @@ def non_script_ratio(col, script: str = HAN):
     return 1 - ratio(count_matches(col, script), col)
 
 
-def top_char_count(col):
-    """How often the commonest character stands in a text: one pass per different character, all in the JVM."""
-    return F.array_max(F.transform(F.array_distinct(F.split(col, "")), lambda c: F.length(col) - F.length(F.replace(col, c))))
+@arrow_udf(IntegerType())
+def top_char_count(col: pa.Array) -> pa.Array:
+    """How often the commonest character stands in a text (null: null, empty: 0).
+
+    Built-in functions need a pass per different character or a sort of all characters (3.3 s and 2.2 s on 24 MB of
+    text, against 0.4 s for counting code points over Arrow batches).
+    """
+    out = []
+    for v in col:
+        t = v.as_py()
+        if not t:
+            out.append(None if t is None else 0)
+            continue
+        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        out.append(int(np.bincount(codes).max() if codes.max() < 1 << 16 else np.unique(codes, return_counts=True)[1].max()))
+    return pa.array(out, pa.int32())
+
+
+def count_letters(col):
+    """Letters and digits of any script: what is left when runs of all else go, which is faster than counting matches."""
+    return F.length(F.regexp_replace(col, r"[^\p{L}\p{N}]+", ""))
 
 
 def repeat_ratio(col):

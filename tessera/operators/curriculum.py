@@ -1,4 +1,10 @@
-"""Curriculum: difficulty clean-up, quantile bands and annealed sampling weights."""
+"""Curriculum: difficulty clean-up, quantile bands and annealed sampling weights.
+
+Defined cases: ``preprocess`` takes null, infinite and NaN difficulties out or fills them; the other operators take its
+result. Where a difficulty is invalid all the same, its band is null, and it has no weight (null) and no part in the
+others' weights. Ties of difficulty go to the same band. Repeated rows are each returned. Empty tables give empty
+results.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranks import cumulative, percentiles
 
 
 def _finite(c: str):
@@ -18,8 +25,8 @@ def preprocess(df: DataFrame, strategy: str = "drop", max_ppl: float = 5.0, fall
     keep = df.filter(F.col("ppl").isNull() | (F.col("ppl") <= max_ppl))
     if strategy == "drop":
         return keep.filter(good.isNotNull())
-    value = F.percentile(good, F.lit(0.5)) if strategy == "median" else F.avg(good)
-    fill = df.agg(F.coalesce(F.round(value, 4), F.lit(fallback)).alias("_fill"))
+    value = percentiles(df, good, {"_value": 0.5}) if strategy == "median" else df.agg(F.avg(good).alias("_value"))
+    fill = value.agg(F.coalesce(F.round(F.max("_value"), 4), F.lit(fallback)).alias("_fill"))
     return keep.crossJoin(F.broadcast(fill)).withColumn("ifd_score", F.coalesce(good, F.col("_fill"))).drop("_fill")  # one row
 
 
@@ -28,9 +35,9 @@ def bands(df: DataFrame, id_col: str, n: int = 3, bounds: list[float] | None = N
     if bounds:
         q = df.sparkSession.createDataFrame([(sorted(bounds),)], "_b array<double>")
     else:
-        q = df.agg(F.percentile("ifd_score", F.array(*(F.lit(i / n) for i in range(1, n)))).alias("_q")).select(F.transform("_q", lambda x: F.round(x, 3)).alias("_b"))
+        q = percentiles(df, _finite("ifd_score"), {f"q{i}": i / n for i in range(1, n)}).select(F.array(*(F.round(f"q{i}", 3) for i in range(1, n))).alias("_b"))
     out = df.crossJoin(F.broadcast(q))  # one row
-    return out.withColumn("curriculum_band", (1 + F.size(F.filter("_b", lambda b: F.col("ifd_score") >= b))).cast("int")).withColumn("shuffle_key", T.md5_order(seed, F.col(id_col))).drop("_b")
+    return out.withColumn("curriculum_band", F.when(_finite("ifd_score").isNotNull(), 1 + F.size(F.filter("_b", lambda b: F.col("ifd_score") >= b))).cast("int")).withColumn("shuffle_key", T.md5_order(seed, F.col(id_col))).drop("_b")
 
 
 def band_stats(banded: DataFrame, type_col: str = "task_type", top: int = 3) -> DataFrame:
@@ -45,9 +52,9 @@ def beta_weights(df: DataFrame, start: float = 1.0, end: float = 0.1, steps: int
 
     The largest exponent and the sum come from aggregates joined as one row per step.
     """
-    med = df.agg(F.percentile("ifd_score", F.lit(0.5)).alias("_m"))
+    med = percentiles(df, _finite("ifd_score"), {"_m": 0.5})
     beta = F.lit(start) + F.col("beta_step") * F.lit((end - start) / max(1, steps - 1))
-    x = df.crossJoin(F.broadcast(med)).withColumn("beta_step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("beta", beta).withColumn("_e", -F.col("ifd_score") / F.col("_m") * F.col("beta") / temperature)
+    x = df.crossJoin(F.broadcast(med)).withColumn("beta_step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("beta", beta).withColumn("_e", -_finite("ifd_score") / F.col("_m") * F.col("beta") / temperature)
     top = x.groupBy("beta_step").agg(F.max("_e").alias("_t"))
     y = x.join(F.broadcast(top), "beta_step").withColumn("_x", F.exp(F.col("_e") - F.col("_t")))
     total = y.groupBy("beta_step").agg(F.sum("_x").alias("_s"))
@@ -72,15 +79,46 @@ def ifd(cond, uncond):
     return F.coalesce(F.when(uncond > 1e-8, F.round(cond / uncond, 4)), F.lit(float("inf")))
 
 
-def cosine_spread(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """mean and deviation of all pairs' cosines, and diversity, from sums of unit vectors and of their products (no pairs)."""
-    unit = F.transform(vec_col, lambda x: x.cast("double") / F.sqrt(F.aggregate(F.transform(vec_col, lambda y: y.cast("double") * y.cast("double")), F.lit(0.0), lambda a, b: a + b)))
-    u = vectors.select(unit.alias("u"))
-    n = u.agg(F.count(F.lit(1)).alias("n"))
-    s1 = u.select(F.posexplode("u").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("s1"))
-    p = u.select(F.posexplode("u").alias("i", "x"), "u").select("i", "x", F.posexplode("u").alias("j", "y"))
-    s2 = p.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("z")).agg(F.sum(F.col("z") * F.col("z")).alias("s2"))
-    all_ = n.crossJoin(s1).crossJoin(s2)  # one row each
-    pairs = F.col("n") * (F.col("n") - 1)
-    mean = (F.col("s1") - F.col("n")) / pairs
-    return all_.select("n", F.round(mean, 4).alias("cos_mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("n")) / pairs - mean * mean)), 4).alias("cos_std"), F.round(1 - mean, 4).alias("diversity"))
+def weighted_sample(weighted: DataFrame, n: int, id_col: str, weight_col: str = "weight", step_col: str = "beta_step", seed: int = 42) -> DataFrame:
+    """(step, draw, id, sampling_weight): ``n`` draws with replacement for each step, in proportion to the weights.
+
+    Draw number d of a step is at a uniform place fixed by the seed, and takes the row whose cumulative weight (in the
+    order of ids) first exceeds it. Rows and draws are cut into the same ``cells`` of the unit interval and joined by
+    cell, so nothing is compared with everything; a row that spans several cells is in each of them.
+    """
+    cells = max(1, n // 64)
+    rows = weighted.filter(F.col(weight_col) > 0).groupBy(F.col(step_col).alias("step"), F.col(id_col).alias("id")).agg(F.sum(weight_col).alias("w"))
+    at = cumulative(rows, "w", ["id"], ["step"], "weights").select("step", "id", F.round("w", 6).alias("sampling_weight"), ((F.col("_upto") - F.col("w")) / F.col("_all")).alias("lo"), (F.col("_upto") / F.col("_all")).alias("hi"))
+    last = at.groupBy("step").agg(F.max("hi").alias("top"))
+    at = at.join(last, "step").withColumn("hi", F.when(F.col("hi") == F.col("top"), 1.0).otherwise(F.col("hi")))
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
+    spans = at.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    u = F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("step").cast("string"), F.col("draw").cast("string"))), F.lit(1), F.lit(13)), 16, 10).cast("double") / float(16**13)
+    draws = last.select("step").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("u", u).withColumn("cell", cell(F.col("u")))
+    got = draws.join(spans, ["step", "cell"]).filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    return got.groupBy("step", "draw").agg(F.min("id").alias("id"), F.min_by("sampling_weight", "id").alias("sampling_weight"))
+
+
+def profile(df: DataFrame, max_ppl: float = 5.0) -> DataFrame:
+    """One row: minimum, quartiles and maximum of the valid difficulties, range of perplexities, and counts."""
+    good = _finite("ifd_score")
+    quart = percentiles(df, good, {"ifd_p25": 0.25, "ifd_p50": 0.5, "ifd_p75": 0.75})
+    figures = df.agg(
+        F.count(F.lit(1)).alias("n"), F.count(good).alias("n_valid"), F.min(good).alias("ifd_min"), F.max(good).alias("ifd_max"),
+        F.min(_finite("ppl")).alias("ppl_min"), F.max(_finite("ppl")).alias("ppl_max"), F.count_if(F.col("ppl") > max_ppl).alias("n_high_ppl"),
+    )
+    return figures.crossJoin(F.broadcast(quart))  # one row each
+
+
+def orderings(banded: DataFrame, weighted: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
+    """(arm, position, id): the rows of three training runs in order. baseline: the banded rows shuffled; band: by band and
+    the order within it; beta: the weighted rows by sampling_weight, highest first (missing: 0), then id."""
+    key = F.col(id_col).alias("id")
+    none = F.lit(0.0)
+    arms = banded.select(F.lit("baseline").alias("arm"), key, none.alias("a"), T.md5_order(seed, F.col(id_col)).alias("b"))
+    arms = arms.unionByName(banded.select(F.lit("band").alias("arm"), key, F.col("curriculum_band").cast("double").alias("a"), F.col("shuffle_key").alias("b")))
+    arms = arms.unionByName(weighted.select(F.lit("beta").alias("arm"), key, (-F.coalesce("sampling_weight", none)).alias("a"), F.lit("").alias("b")))
+    rows = arms.groupBy("arm", "a", "b", "id").agg(F.count(F.lit(1)).alias("copies"))
+    at = cumulative(rows, "copies", ["a", "b", "id"], ["arm"], "orders")
+    each = at.withColumn("position", F.explode(F.sequence(F.col("_upto") - F.col("copies"), F.col("_upto") - 1)))
+    return each.select("arm", F.col("position").cast("long").alias("position"), "id")

@@ -1,10 +1,24 @@
-"""Character-shingle MinHash with banding, greedy star groups in scan order, and the best row of each group."""
+"""Character-shingle MinHash with banding, greedy star groups in scan order, and the best row of each group.
+
+A text's neighbours are all texts that share a band's bucket. No pair of neighbours is ever made: a bucket is one row
+per member, and each round of grouping sums over buckets and over members, so the work grows with the members and a
+bucket of any size has partial sums.
+
+Defined cases: null texts and texts shorter than a shingle have no signature and are in no group. Equal texts are one
+node whose place is its smallest id. Null ids take no part and their rows stay. Rows that repeat an id with one text
+are one; of rows that repeat an id with different texts, each text is in its own group and ``keep_best`` drops a row
+only if its text's digest was dropped. Ties of score go to the smaller id. Empty tables give empty results. Columns of
+the input other than the named ones are kept and never read; a ``dedup_pass`` column is replaced.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,7 +33,7 @@ class DedupConfig:
     permutations: int = 128
     threshold: float = 0.6
     weights: tuple[float, float] = (0.5, 0.5)
-    #: compare candidate pairs exactly; off: banding alone decides
+    #: members stay in a group only if their exact similarity to its leader reaches the threshold; off: banding alone decides
     verify: bool = True
     seed: int = 42
 
@@ -55,55 +69,75 @@ def shingles(col, n: int = 3):
     return F.array_distinct(T.windows(col, n))
 
 
-def shingle_hash(x):
-    """28 bits of md5: the same in any SQL engine."""
-    return F.conv(F.substr(F.md5(x), F.lit(1), F.lit(7)), 16, 10).cast("long")
+class _ShingleHashes(dict):
+    """28 bits of md5 by shingle (the same in any SQL engine), found on first use; emptied at 500,000."""
+
+    def __missing__(self, x: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[x] = int(hashlib.md5(x.encode()).hexdigest()[:7], 16)
+        return h
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, permutations: int, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(id, sig): for each permutation the least (a h + b) mod p. Texts without shingles are left out."""
-    hashes = df.select(F.col(id_col).alias("id"), F.transform(shingles(F.col(text_col), shingle), shingle_hash).alias("h")).filter("size(h) > 0")
-    family = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in hash_family(permutations, seed)))
-    return hashes.select("id", F.transform(family, lambda f: F.array_min(F.transform(F.col("h"), lambda x: (f["a"] * x + f["b"]) % PRIME))).alias("sig"))
+    family = np.array(hash_family(permutations, seed), np.int64)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") >= shingle)
 
+    def run(batches):
+        hashes = _ShingleHashes()
+        for b in batches:
+            out = []
+            for t in b.column(1):
+                t = t.as_py()
+                h = np.fromiter((hashes[x] for x in {t[i : i + shingle] for i in range(len(t) - shingle + 1)}), np.int64)
+                least = np.full(permutations, PRIME, np.int64)
+                for s in range(0, len(h), 4096):  # a long text has many shingles
+                    np.minimum(least, ((family[:, :1] * h[None, s : s + 4096] + family[:, 1:]) % PRIME).min(1), out=least)
+                out.append(least)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "sig"])
 
-def banded(sig: DataFrame, bands: int, rows: int) -> DataFrame:
-    each = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.array_join(F.slice("sig", i * rows + 1, rows), "-").alias("key")))
-    return sig.select("id", F.explode(each).alias("x")).select("id", "x.band", "x.key")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, sig array<long>")
 
 
-def candidate_edges(sig: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(src, dst), src < dst: pairs that share a band."""
-    b = banded(sig, bands, rows)
-    pairs = b.alias("l").join(b.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")))
-    return pairs.select(F.col("l.id").alias("src"), F.col("r.id").alias("dst")).distinct()
+def banded(sig: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(id, band, key): a row per member and bucket; key is the md5 of the band's values."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.md5(F.array_join(F.slice("sig", i * rows + 1, rows), "-")).alias("key")))
+    return sig.select("id", F.explode(each).alias("x")).select("id", "x.band", "x.key")
 
 
-def verified_edges(edges: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
-    sets = df.select(F.col(id_col).alias("id"), shingles(F.col(text_col), shingle).alias("s"))
-    a, b = sets.toDF("src", "sa"), sets.toDF("dst", "sb")
-    both = edges.join(a, "src").join(b, "dst")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(inter / (F.size("sa") + F.size("sb") - inter) >= threshold).select("src", "dst")
+def bucket_sizes(members: DataFrame) -> DataFrame:
+    """(band, key, n, least) of the buckets with several members."""
+    return members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1")
 
 
-def leader_groups(edges: DataFrame) -> DataFrame:
-    """(id, leader) of all nodes with an edge, as a scan in id order would group them.
+def leader_groups(members: DataFrame) -> DataFrame:
+    """(id, leader) of all ids that share a bucket (band, key), as a scan in id order would group them.
 
-    A node leads if no smaller neighbour leads; others belong to their smallest leading neighbour. In each
-    round every undecided node whose smaller neighbours are all decided is decided; rounds are written.
+    A node leads if no smaller neighbour leads; others belong to their smallest leading neighbour. All members of a
+    bucket are neighbours, so a bucket has one leader at most: a node that is the smallest undecided one in all of its
+    buckets leads if none of them is led from below, and members above a bucket's leader follow. Rounds are written.
     """
-    edges = written(edges, "edges")
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    state = written(nodes.withColumn("leads", F.lit(None).cast("boolean")), "leaders")
+    shared = written(members.join(bucket_sizes(members).select("band", "key"), ["band", "key"]), "buckets")
+    state = written(shared.select("id").distinct().withColumn("leads", F.lit(None).cast("boolean")), "leaders")
     while not state.filter("leads IS NULL").isEmpty():
-        below = edges.join(state.withColumnRenamed("id", "src").withColumnRenamed("leads", "l"), "src")
-        known = below.groupBy("dst").agg(F.coalesce(F.bool_or("l"), F.lit(False)).alias("led"), F.count_if(F.col("l").isNull()).alias("open"))
-        s = state.join(known, state.id == known.dst, "left")
-        decided = F.when(F.coalesce("led", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = written(s.select("id", F.coalesce("leads", decided).alias("leads")), "leaders")
-    first = edges.join(state.filter("leads").select(F.col("id").alias("src")), "src").groupBy("dst").agg(F.min("src").alias("leader"))
-    return state.join(first, state.id == first.dst, "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
+        at = shared.join(state, "id")
+        buckets = at.groupBy("band", "key").agg(F.min(F.when(F.col("leads"), F.col("id"))).alias("led"), F.min(F.when(F.col("leads").isNull(), F.col("id"))).alias("open"))
+        seen = at.filter("leads IS NULL").join(buckets, ["band", "key"]).groupBy("id").agg(F.bool_or(F.coalesce(F.col("led") < F.col("id"), F.lit(False))).alias("follows"), F.bool_and(F.col("open") == F.col("id")).alias("first"))
+        decided = F.when(F.col("follows"), False).when(F.col("first"), True)
+        state = written(state.join(seen, "id", "left").select("id", F.coalesce("leads", decided).alias("leads")), "leaders")
+    lead = shared.join(state.filter("leads"), "id").groupBy("band", "key").agg(F.min("id").alias("leader"))
+    first = shared.join(lead, ["band", "key"]).filter("leader < id").groupBy("id").agg(F.min("leader").alias("leader"))
+    return state.join(first, "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
+
+
+def verified(led: DataFrame, reps: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """``led`` without the members whose Jaccard similarity to their leader is under the threshold: two texts a member meet."""
+    sets = reps.select("id", shingles(F.col("text"), shingle).alias("s"))
+    both = led.filter("id <> leader").join(sets, "id").join(sets.toDF("leader", "l"), "leader")
+    inter = F.size(F.array_intersect("s", "l"))
+    near = both.filter(inter / (F.size("s") + F.size("l") - inter) >= threshold).select("id", "leader")
+    return near.unionByName(near.select(F.col("leader").alias("id"), "leader").distinct())
 
 
 def quality_score(text, ppl=None, extras: tuple = ()):
@@ -118,27 +152,43 @@ def quality_score(text, ppl=None, extras: tuple = ()):
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: DedupConfig = DedupConfig()) -> DataFrame:
-    """(id, leader) of every row in a group of two or more. Equal texts are grouped first, by their smallest id."""
-    text = F.col(text_col)
-    same = written(df.filter(F.length(text) >= config.shingle).select(F.col(id_col).alias("id"), F.md5(text).alias("h")), "digests")
-    first = same.groupBy("h").agg(F.min("id").alias("rep"))
-    copies = written(same.join(first, "h").select("id", "rep"), "copies")
-    reps = df.join(copies.filter("id = rep").select("id"), F.col(id_col) == F.col("id"), "left_semi")
+    """(id, digest, leader) of every row in a group of two or more. Equal texts are one node, at their smallest id."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= config.shingle))
+    same = written(rows.select("id", F.md5("text").alias("digest")).distinct(), "digests")
+    # a node is a text: its place is its smallest id, with the digest behind it where texts share an id
+    node = F.struct(F.min("id").alias("id"), F.col("digest")).alias("node")
+    copies = written(same.join(same.groupBy("digest").agg(node), "digest").select("id", "digest", "node"), "copies")
+    reps = rows.withColumn("digest", F.md5("text")).join(copies.filter("id = node.id").select("id", "digest", "node"), ["id", "digest"]).groupBy("node").agg(F.first("text").alias("text"))
+    reps = written(reps.withColumnRenamed("node", "id"), "texts")
     b, r = band_shape(config.threshold, config.permutations, config.weights)
-    sig = written(signatures(reps, id_col, text_col, b * r, config.shingle, config.seed), "signatures")
-    edges = candidate_edges(sig, b, r)
+    led = leader_groups(banded(written(signatures(reps, "id", "text", b * r, config.shingle, config.seed), "signatures"), b, r))
     if config.verify:
-        edges = verified_edges(edges, reps, id_col, text_col, config.shingle, config.threshold)
-    led = leader_groups(edges)
-    out = copies.join(led.toDF("rep", "leader"), "rep", "left").select("id", F.coalesce("leader", "rep").alias("leader"))
+        led = verified(led, reps, config.threshold, config.shingle)
+    out = copies.join(led.toDF("node", "leader"), "node", "left").select("id", "digest", F.coalesce("leader", "node").alias("leader"))
     sizes = out.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return out.join(sizes, "leader").select("id", "leader")
+    return out.join(sizes, "leader").select("id", "digest", F.col("leader.id").alias("leader_id"), "leader")
 
 
 def keep_best(df: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text", ppl_col: str | None = None, extras: tuple[str, ...] = ()) -> DataFrame:
-    """Rows outside groups, and of each group the row with the best score (ties: the smallest id)."""
+    """Rows outside groups, and of each group the row with the best score (ties: the smallest id), with dedup_pass.
+
+    The best row of a group is the largest by one aggregate, not by a sort of the group.
+    """
+    tag = F.md5(F.col(text_col))
     score = quality_score(F.col(text_col), F.col(ppl_col) if ppl_col else None, tuple(F.col(e) for e in extras))
-    scored = df.select(F.col(id_col).alias("id"), score.alias("score")).join(grouped, "id")
-    best = F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("score"), "id"))
-    gone = scored.withColumn("rank", best).filter("rank > 1").select(F.col("id").alias(id_col))
-    return df.join(gone, id_col, "left_anti").withColumn("dedup_pass", F.lit(True))
+    scored = df.select(F.col(id_col).alias("id"), tag.alias("digest"), score.alias("score")).join(grouped.select("id", "digest", "leader"), ["id", "digest"])
+    best = scored.groupBy("leader").agg(F.min(F.struct((-F.col("score")).alias("s"), "id", "digest")).alias("best"))
+    gone = grouped.join(best, "leader").filter((F.col("id") != F.col("best.id")) | (F.col("digest") != F.col("best.digest"))).select(F.col("id").alias("_gone"), F.col("digest").alias("_digest"))
+    return df.drop("dedup_pass").join(gone, (F.col(id_col) == F.col("_gone")) & (tag == F.col("_digest")), "left_anti").withColumn("dedup_pass", F.lit(True))
+
+
+def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule_config=None, max_ppl: float = 30.0, config: DedupConfig = DedupConfig()) -> DataFrame:
+    """The whole cleaning run: rules, perplexity by a model of what they keep, and near-duplicates; with ppl and dedup_pass."""
+    from . import ngram, rules
+
+    kept = written(rules.keep(df, text_col, rule_config or rules.RuleConfig()), "passed")
+    scored = ngram.filter_by_ppl(ngram.perplexity(ngram.train(kept, text_col=text_col), kept, [id_col], text_col), max_ppl)
+    passed = written(ngram.hard_filter(scored), "scored")
+    return keep_best(passed, groups(passed, id_col, text_col, config), id_col, text_col, "ppl")
+
+

@@ -1,4 +1,8 @@
-"""Feedback controller: signals to deviations, deviations to parameter changes, as joins of small tables."""
+"""Feedback controller: signals to deviations, deviations to parameter changes, as joins of small tables.
+
+Defined cases: a null raw value or baseline gives a deviation of 0 and a null delta_pct; signals without weights and
+weights without signals take no part. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -122,7 +126,9 @@ def adjust(decisions: DataFrame, schema: DataFrame, config: FeedbackConfig = Fee
 
 
 def ranked(normalized: DataFrame, n: int = 5) -> DataFrame:
-    return normalized.orderBy(F.desc("deviation"), "signal").limit(n)
+    """The ``n`` signals of the largest deviation; ties in the declared order, then by name."""
+    place = F.array_position(F.array(*(F.lit(x[0]) for x in SIGNALS)), F.col("signal"))
+    return normalized.orderBy(F.desc("deviation"), F.when(place > 0, place).otherwise(len(SIGNALS) + 1), "signal").limit(n)
 
 
 def action_counts(decisions: DataFrame, keys: list[str] = ()) -> DataFrame:

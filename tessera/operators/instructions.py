@@ -1,4 +1,8 @@
-"""Seeds, instruction pairs, parsers of generated text, post-filters, comparisons and training formats."""
+"""Seeds, instruction pairs, parsers of generated text, post-filters, comparisons and training formats.
+
+Defined cases: a null text, reply or field counts as missing: it is never a seed, parses to null, and is rejected as an
+empty field. Ties of an order go to the smaller id. Repeated rows are each returned. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranks import row_numbers
 
-#: fixed values: task types, and what an output that refuses holds
+#: fixed values: task types, the noise counted in seeds, and what an output that refuses holds
 TASK_TYPES = ["推理分析", "知识问答", "文本生成", "代码编写", "多轮对话"]
+NOISE = r"http[s]?://|www\.|\.com|\.cn|[#$%&@*]"
 REFUSALS = ["作为.?AI", "我不能", "对不起", "我无法", "As an AI", "I cannot", "I'm sorry"]
 
 
@@ -24,7 +30,7 @@ def select_seeds(df: DataFrame, count: int = 80, seed: int = 42, id_col: str = "
 
 def select_seeds_by_noise(df: DataFrame, count: int, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", script: str = T.HAN, min_script: float = 0.4) -> DataFrame:
     t = F.col(text_col)
-    noise = T.count_matches(t, r"http[s]?://|www\.|\.com|\.cn|[#$%&@*]")
+    noise = T.count_matches(t, NOISE)
     return df.filter(F.length(t).between(100, 500) & (noise <= 3) & (T.count_matches(t, script) / F.length(t) >= min_script)).orderBy(T.md5_order(seed, F.col(id_col)), id_col).limit(count)
 
 
@@ -45,13 +51,28 @@ def generate(df: DataFrame, generator: Callable[[list[str]], list[str | None]],
     return df.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {out} string")
 
 
+def _fields(col):
+    """(instruction, output) of a text that is one JSON object with both and nothing after it."""
+    got = F.from_json(F.concat(F.lit("["), col, F.lit("]")), "array<struct<instruction: string, output: string>>")
+    one = F.get(got, F.lit(0))
+    return F.when((F.size(got) == 1) & one["instruction"].isNotNull() & one["output"].isNotNull(), one)
+
+
 def parse_reply(col):
     """(instruction, output) of a reply: code fences off, then JSON, else the widest braces that hold both keys."""
-    ddl = "instruction string, output string"
     bare = T.strip(F.regexp_replace(col, r"^\s*```[a-z]*\s*|\s*```\s*$", ""))
-    wide = F.regexp_extract(bare, r'(?s)\{.*"instruction".*"output".*\}', 0)
-    first, second = F.from_json(bare, ddl), F.from_json(wide, ddl)
-    return F.when(first["instruction"].isNotNull() & first["output"].isNotNull(), first).when(second["instruction"].isNotNull() & second["output"].isNotNull(), second)
+    return F.coalesce(_fields(bare), _fields(F.regexp_extract(bare, r'(?s)\{.*"instruction".*"output".*\}', 0)))
+
+
+def parse_braces(col):
+    """(instruction, output) of the first braces without braces in them that are JSON with both keys."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"\{[^{}]*\}"), F.lit(0)), _fields)
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+
+def parse_first_to_last(col):
+    """(instruction, output) of what stands from the first opening to the last closing brace."""
+    return _fields(F.regexp_extract(col, r"(?s)\{.*\}", 0))
 
 
 def judge(col):
@@ -95,7 +116,9 @@ def postfilter_rule(instruction, output, min_instruction: int = 10, min_output:
 
 
 def with_ids(df: DataFrame, order: str, prefix: str = "synth") -> DataFrame:
-    return df.withColumn("id", F.format_string(f"{prefix}_%04d", F.row_number().over(Window.orderBy(order)) - 1))
+    """``df`` with id, a number of at least four digits by place in ``order`` (an id column is replaced)."""
+    numbered = row_numbers(df.drop("id") if order != "id" else df, [order], "_at")
+    return numbered.withColumn("id", F.format_string(f"{prefix}_%04d", F.col("_at"))).drop("_at")
 
 
 def resume(seeds: DataFrame, done: DataFrame, key: str = "seed_id") -> DataFrame:
@@ -110,7 +133,8 @@ def distribution_gap(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
         n = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
         return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select(col, (F.col("n") / F.col("all")).alias(name))
 
-    both = shares(a, "x").join(shares(b, "y"), col, "full_outer")
+    other = shares(b, "y").withColumnRenamed(col, "_value")
+    both = shares(a, "x").join(other, F.col(col).eqNullSafe(F.col("_value")), "full_outer")  # null is a value like others
     return both.agg(F.round(F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))), 3).alias("gap"))
 
 

@@ -2,16 +2,24 @@
 
 A seen n-gram has 0.6 of its relative frequency and 0.4 of its suffix's probability; an unseen one goes
 straight to the smoothed unigram (``backoff="jump"``) or to its suffix (``"stepwise"``).
+
+Defined cases: null, empty and blank texts have no tokens and an infinite perplexity, as texts of one token have; texts
+shorter than ``n`` are scored and not learned from. Without training texts every probability is undefined and every
+perplexity null. Repeated rows and ids are each scored. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.written import written
+from .profile import join_groups
+from .ranks import percentiles
 
 ALPHA, DISCOUNT = 0.01, 0.4
 
@@ -22,6 +30,15 @@ def char_tokens(col):
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
 
 
+def word_tokens(segment):
+    """A tokenizer from ``segment``, a function from a text to a list of words: one pass over Arrow batches."""
+    @F.arrow_udf("array<string>")
+    def tokens(col: pa.Array) -> pa.Array:
+        return pa.array([segment(t.strip()) if t and t.strip() else [] for t in col.to_pylist()], pa.list_(pa.string()))
+
+    return tokens
+
+
 def gram_stream(df: DataFrame, n: int, text_col: str, keys: list[str]) -> DataFrame:
     """A row per token: keys and g, the token after up to n - 1 before it; short at a text's start. n_tokens too.
 
@@ -54,14 +71,14 @@ class NgramModel:
 
 
 def train(df: DataFrame, n: int = 3, text_col: str = "text") -> NgramModel:
-    """Counts of all orders up to ``n``, from texts of at least ``n`` tokens.
+    """Counts of all orders up to ``n``, from texts of at least ``n`` tokens, written once.
 
     Longest grams are counted from the texts once (with partial sums); shorter ones are sums over those.
     """
     long = df.filter(F.length(T.strip(F.coalesce(F.col(text_col), F.lit("")))) >= n)
     top = gram_stream(long, n, text_col, []).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     suffixes = F.transform(F.sequence(F.lit(1), F.length("g")), lambda k: F.substr(F.col("g"), -k, k))
-    counts = top.select(F.explode(suffixes).alias("g"), "c").groupBy("g").agg(F.sum("c").alias("c"))
+    counts = written(top.select(F.explode(suffixes).alias("g"), "c").groupBy("g").agg(F.sum("c").alias("c")), "ngrams")
     totals = counts.filter("length(g) = 1").agg(F.sum("c"), F.count(F.lit(1))).first()
     return NgramModel(counts, n, totals[0] or 0, totals[1] or 0)
 
@@ -69,7 +86,7 @@ def train(df: DataFrame, n: int = 3, text_col: str = "text") -> NgramModel:
 def probabilities(model: NgramModel, grams: DataFrame, backoff: str = "jump") -> DataFrame:
     """(g, p): the probability of the last token of each distinct n-gram in ``grams`` after the others.
 
-    Joins the count table once for each order; the tables hold distinct n-grams, not tokens.
+    Joins the count table for each order; the tables hold distinct n-grams, not tokens.
     """
     counts = model.counts
     out = grams.select("g").distinct()
@@ -88,12 +105,33 @@ def probabilities(model: NgramModel, grams: DataFrame, backoff: str = "jump") ->
     return out.select("g", "p")
 
 
+#: most n-grams whose probabilities are sent to every task (some 80 bytes each); more are joined by a shuffle
+BROADCAST_GRAMS = 400_000
+
+
+def log_probabilities(model: NgramModel, grams: DataFrame, backoff: str = "jump") -> DataFrame:
+    """(g, lnp) of the distinct n-grams in ``grams``, written once, and sent to all tasks if there are few."""
+    table = written(probabilities(model, grams, backoff).select("g", F.ln("p").alias("lnp")), "probabilities")
+    return F.broadcast(table) if table.count() <= BROADCAST_GRAMS else table
+
+
 def perplexity(model: NgramModel, df: DataFrame, keys: list[str], text_col: str = "text", backoff: str = "jump") -> DataFrame:
-    """keys and ppl, infinite for texts of fewer than two tokens. Tokens are summed by document and n-gram first."""
-    tokens = gram_stream(df, model.n, text_col, keys).groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("k"))
-    scored = tokens.join(probabilities(model, tokens, backoff), "g").groupBy(*keys).agg(F.exp(-F.sum(F.col("k") * F.ln("p")) / F.sum("k")).alias("_ppl"), F.sum("k").alias("_n"))
-    out = df.join(scored, keys, "left")
-    return out.select(*df.columns, F.when(F.col("_n") >= 2, F.col("_ppl")).otherwise(F.lit(float("inf"))).alias("ppl"))
+    """``df`` with ppl, infinite for texts of fewer than two tokens; a column of that name is replaced.
+
+    Probabilities are worked out once for each distinct n-gram and meet the tokens in the task that made them; what is
+    shuffled is one sum per text. Rows are told by keys and text: ids may be null or repeat.
+    """
+    rows = df.drop("ppl") if "ppl" in df.columns and "ppl" not in keys and text_col != "ppl" else df
+    tagged = rows.withColumn("_h", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    names = [f"_k{i}" for i in range(len(keys))]
+    texts = tagged.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("_h").alias("_t"), F.col(text_col).alias("_text"))
+    tokens = gram_stream(texts, model.n, "_text", [*names, "_t"])
+    scored = tokens.join(log_probabilities(model, tokens, backoff), "g").groupBy(*names, "_t").agg(F.exp(-F.avg("lnp")).alias("_ppl"), F.max("n_tokens").alias("_n"))
+    on = F.col("_h") == F.col("_t")
+    for k, n in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    out = tagged.join(scored, on, "left")
+    return out.select(*rows.columns, F.when(F.col("_n") >= 2, F.col("_ppl")).otherwise(F.lit(float("inf"))).alias("ppl"))
 
 
 def filter_by_ppl(scored: DataFrame, threshold: float) -> DataFrame:
@@ -113,7 +151,24 @@ def hard_filter(filtered: DataFrame) -> DataFrame:
 def calibrate(scored: DataFrame, label_col: str = "label", factor: float = 1.5) -> DataFrame:
     """Per label: count and figures of finite perplexities; threshold: 1.5 times the 95th percentile, one place."""
     x = scored.filter("ppl < double('inf')").withColumn("ppl", F.col("ppl").cast("double"))
-    return x.groupBy(label_col).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("ppl").alias("ppl_mean"), F.percentile("ppl", F.lit(0.5)).alias("ppl_median"), F.percentile("ppl", F.lit(0.95)).alias("ppl_p95"),
-        F.min("ppl").alias("ppl_min"), F.max("ppl").alias("ppl_max"), F.round(F.percentile("ppl", F.lit(0.95)) * factor, 1).alias("threshold"),
-    )
+    figures = x.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"), F.avg("ppl").alias("ppl_mean"), F.min("ppl").alias("ppl_min"), F.max("ppl").alias("ppl_max"))
+    out = join_groups(figures, percentiles(x, "ppl", {"ppl_median": 0.5, "ppl_p95": 0.95}, [label_col]), [label_col])
+    return out.withColumn("threshold", F.round(F.col("ppl_p95") * factor, 1))
+
+
+def text_perplexity(model: NgramModel, text: str, backoff: str = "jump") -> float:
+    """The perplexity of one text."""
+    one = model.counts.sparkSession.createDataFrame([(0, text)], "i int, text string")
+    return perplexity(model, one, ["i"], backoff=backoff).first()["ppl"]
+
+
+def pair_text(instruction, output):
+    """Instruction and output with a line break between, or whichever is not empty: what a pair is scored on."""
+    i, o = F.coalesce(instruction, F.lit("")), F.coalesce(output, F.lit(""))
+    return F.when((i != "") & (o != ""), F.concat(i, F.lit("\n"), o)).otherwise(F.concat(i, o))
+
+
+def score_pairs(pairs: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
+    """``pairs`` (instruction, output) with ppl by a model of the pairs' own texts."""
+    texts = pairs.withColumn("_pair", pair_text(F.col("instruction"), F.col("output")))
+    return perplexity(train(texts, n, "_pair"), texts, keys, "_pair").drop("_pair")

@@ -1,27 +1,29 @@
-"""Length profiles, corpus health, and before/after tables."""
+"""Length profiles, corpus health, and before/after tables.
+
+Defined cases: null texts have no length and enter no figure but ``count``; empty texts have a length and no ratios.
+Null groups are groups. Repeated rows count each time. An empty table gives no groups and, without groups, one row of
+nulls and zeros.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranks import order_statistics
 from .rules import URL
 
 
-def order_statistics(df: DataFrame, value: str, at: dict[str, float], keys: list[str] = ()) -> DataFrame:
-    """For each name the value of rank floor(n * q) (from 0) in each group.
-
-    Ranks are of distinct values with counts, so that a group's rows are summed before one task sorts them.
-    """
-    keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    upto = F.sum("_n").over(part.orderBy("_v"))
-    ranked = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(part))
-    pick = lambda q: F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * q), F.col("_v")))
-    out = ranked.groupBy(*keys).agg(*(pick(q).alias(name) for name, q in at.items()))
-    return out
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables of a row per group side by side; null groups meet. Without keys both have one row."""
+    if not keys:
+        return left.crossJoin(right)
+    r = right.toDF(*(f"_r_{c}" if c in keys else c for c in right.columns))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(r, on, "left").drop(*(f"_r_{k}" for k in keys))
 
 
 def length_profile(df: DataFrame, text_col: str = "text", keys: list[str] = ()) -> DataFrame:
@@ -29,7 +31,7 @@ def length_profile(df: DataFrame, text_col: str = "text", keys: list[str] = ())
     n = df.select(*keys, F.length(text_col).alias("_len"))
     stats = order_statistics(n, "_len", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, keys)
     rest = n.groupBy(*keys).agg(F.min("_len").alias("len_min"), F.max("_len").alias("len_max"), F.count_if(F.col("_len") < 10).alias("n_short"), F.count_if(F.col("_len") > 10000).alias("n_long"))
-    return rest.join(stats, keys) if keys else rest.crossJoin(stats)  # one row each
+    return join_groups(rest, stats, keys)
 
 
 def ratio_profile(df: DataFrame, text_col: str = "text", keys: list[str] = ()) -> DataFrame:
@@ -43,10 +45,10 @@ def ratio_profile(df: DataFrame, text_col: str = "text", keys: list[str] = ()) -
     )
 
 
-def bigram_diversity(df: DataFrame, text_col: str = "text", seq: str = "doc_id", first: int = 500) -> DataFrame:
-    """Different over all character bigrams of the first ``first`` texts: the sample is the measure's definition."""
-    head = df.select(F.col(seq).alias("_seq"), F.col(text_col).alias("t")).orderBy("_seq").limit(first)
-    pairs = head.select(F.explode(T.windows(F.col("t"), 2)).alias("b"))
+def bigram_diversity(df: DataFrame, text_col: str = "text", seq: str = "doc_id", first: int | None = None) -> DataFrame:
+    """Different over all character bigrams of all texts, or of the ``first`` ones by ``seq``."""
+    rows = df if first is None else df.select(seq, text_col).orderBy(seq).limit(first)
+    pairs = rows.select(F.explode(T.windows(F.col(text_col), 2)).alias("b"))
     return pairs.groupBy("b").count().agg(F.count(F.lit(1)).alias("distinct_bigrams"), F.sum("count").alias("bigrams")).withColumn("diversity", F.col("distinct_bigrams") / F.col("bigrams"))
 
 
@@ -67,7 +69,7 @@ def health(df: DataFrame, text_col: str = "text", keys: list[str] = (), ppl_col:
     )
     if ppl_col:
         median = order_statistics(rows.withColumn("p", finite), "p", {"ppl_median": 0.5}, keys)
-        out = out.join(median, keys, "left") if keys else out.crossJoin(median)
+        out = join_groups(out, median, keys)
     return out
 
 

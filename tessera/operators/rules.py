@@ -1,4 +1,9 @@
-"""Rule filter: ordered rejection rules as one column."""
+"""Rule filter: ordered rejection rules as one column.
+
+Defined cases: null texts count as empty, and empty and blank texts pass all rules. Rows are judged one by one, so
+repeated rows are each judged; an empty table gives an empty result. ``apply_rules`` replaces columns that have the
+names of its own two.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +38,7 @@ class RuleConfig:
 
 
 #: The same rules for texts in Latin letters.
-LATIN = RuleConfig(script=r"[\p{Latin}\s\p{P}]")
+LATIN = RuleConfig(script=r"[\p{IsLatin}\s\p{P}]")
 
 
 def whitelisted(col, config: RuleConfig, rule: str):
@@ -44,7 +49,7 @@ def whitelisted(col, config: RuleConfig, rule: str):
 
 
 def effective_ratio(col):
-    return T.ratio(T.count_matches(col, r"[\p{L}\p{N}]"), col)
+    return T.ratio(T.count_letters(col), col)
 
 
 def reject_rule(col, config: RuleConfig = RuleConfig()):

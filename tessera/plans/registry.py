@@ -1,4 +1,4 @@
-"""Queries of the library's operators over the tables, and the SQL that they are held against."""
+"""All queries of the library's own operators over the tables, and the SQL that they are held against."""
 
 from __future__ import annotations
 
@@ -6,20 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import curriculum, flywheel, instructions, ngram, profile, rules, training
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+from ..operators import instructions, ngram, profile, rules, training
+from ..sources.written import written
+from . import cleaning, control, pairs
+from .shared import CHARS, HAN, LETTERS, NS, PAIRS, count_sql, docs, ppl_sql, rule_sql, table
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through the rules and the perplexity filter, counted by language."""
-    kept = rules.keep(docs(spark, sf_dir), config=rules.LATIN).select("doc_id", "lang", "text")
+    kept = written(rules.keep(docs(spark, sf_dir), config=rules.LATIN).select("doc_id", "lang", "text"), "passed")
     scored = ngram.filter_by_ppl(ngram.perplexity(ngram.train(kept), kept, ["doc_id"]), 30.0)
     return scored.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("ppl_pass").alias("passed"), F.round(F.avg("ppl"), 4).alias("ppl_mean")).orderBy("lang")
 
@@ -57,10 +52,6 @@ def ppl_scores(spark, sf_dir):
     return ngram.perplexity(ngram.train(d), d, ["doc_id"]).select("doc_id", F.when(F.col("ppl") < float("inf"), F.round("ppl", 3)).alias("ppl"))
 
 
-def seed_select(spark, sf_dir):
-    return instructions.select_seeds(docs(spark, sf_dir).withColumn("ppl", F.lit(10.0)), count=80, min_script=0.0).select("doc_id", "rank")
-
-
 def instruction_pairs(spark, sf_dir):
     p = instructions.pairs(table(spark, sf_dir, "conversations"))
     return p.select("conv_id", "turn", "instruction", "output", instructions.postfilter_rule(F.col("instruction"), F.col("output")).alias("reject"))
@@ -71,29 +62,6 @@ def type_gap(spark, sf_dir):
     return instructions.distribution_gap(d.filter("lang = 'en'"), d.filter("lang <> 'en'"), "source")
 
 
-def curriculum_bands(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", "source", (F.col("n_chars") % 997 / 500.0).alias("ifd_score"))
-    return curriculum.bands(d, "doc_id").select("doc_id", "curriculum_band")
-
-
-def beta_weights(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", (F.col("n_chars") % 997 / 500.0).alias("ifd_score"))
-    return curriculum.beta_weights(d).groupBy("beta_step").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("beta"), 3).alias("beta"), F.round(-F.sum(F.col("weight") * F.ln(F.col("weight") + 1e-12)), 4).alias("entropy"))
-
-
-def feedback_signals(spark, sf_dir):
-    return flywheel.normalize(flywheel.scenario_signals(spark)).select("scenario", "signal", "deviation", "delta_pct")
-
-
-def feedback_adjustments(spark, sf_dir):
-    d = flywheel.decide(flywheel.normalize(flywheel.scenario_signals(spark)), flywheel.weights(spark), ["scenario"])
-    return flywheel.adjust(d, flywheel.parameters(spark)).select("scenario", "param", "action", "new")
-
-
-def sft_format(spark, sf_dir):
-    return instructions.to_sft(instructions.pairs(table(spark, sf_dir, "conversations")), ["conv_id", "turn"])
-
-
 def label_audit(spark, sf_dir):
     d = rules.apply_rules(docs(spark, sf_dir), config=rules.RuleConfig(max_non_script=1.0)).join(table(spark, sf_dir, "labels"), "doc_id")
     return d.groupBy(F.col("reject_rule").isNull().alias("kept"), "quality").agg(F.count(F.lit(1)).alias("n"))
@@ -114,33 +82,22 @@ def token_weighted_loss(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = [run_comparison, token_weighted_loss, rule_stats, text_ratios, html_url_counts, length_order_stats, health_by_lang, bigram_diversity, ppl_scores, seed_select, instruction_pairs, type_gap, curriculum_bands, beta_weights, feedback_signals, feedback_adjustments, sft_format, label_audit]
-    return {f.__name__: f for f in found}
-
-
-_NS = T.NON_SPACES
-_CHARS = "WITH ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), top AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, c, count(*) AS n FROM ch GROUP BY ALL) GROUP BY doc_id)"
-_COUNT = lambda pattern, col="text": f"len(regexp_extract_all({col}, '{pattern}'))"
-_RULE = f"""CASE WHEN length(text) < 10 AND NOT (regexp_matches(text, '^第[一二三四五六七八九十百千]+[条章节]') OR regexp_matches(text, '^[《「].+[》」]$')) OR length(text) > 10000 THEN 'length'
- WHEN n / length(text) > 0.4 THEN 'repeat_char' WHEN {_COUNT("https?://" + _NS + "+")} > 20 OR {_COUNT("<[^>]+>")} > 20 THEN 'html_url'
- WHEN {_COUNT("[\\p{L}\\p{N}]")} / length(text) < 0.5 AND NOT regexp_matches(text, '^[一-鿿，、。；：！？]{{3,}}$') THEN 'effective_ratio' ELSE 'passed' END"""
-_PAIRS = "SELECT conv_id, turn, text AS instruction, output FROM (SELECT *, lead(text) OVER w AS output, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'"
+    found = [run_comparison, token_weighted_loss, rule_stats, text_ratios, html_url_counts, length_order_stats, health_by_lang, bigram_diversity, ppl_scores, instruction_pairs, type_gap, label_audit]
+    return {f.__name__: f for f in found + cleaning.QUERIES + pairs.QUERIES + control.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return cleaning.SQL | pairs.SQL | control.SQL | {
         "run_comparison": "WITH d AS (SELECT lang AS run, doc_id, n_chars % 997 / 500.0::DOUBLE AS loss FROM documents WHERE n_chars IS NOT NULL), s AS (SELECT run, count(DISTINCT doc_id) AS n_steps, arg_min(loss, doc_id) AS first_loss, arg_max(loss, doc_id) AS last_loss, min(loss) AS min_loss FROM d GROUP BY run), p AS (SELECT *, row_number() OVER (ORDER BY run)::INT AS position FROM s) SELECT *, row_number() OVER (ORDER BY min_loss, position) = 1 AS best FROM p",
         "token_weighted_loss": "WITH d AS (SELECT source, n_chars AS n, n_chars % 997 / 500.0::DOUBLE AS loss FROM documents WHERE n_chars IS NOT NULL) SELECT source, sum(n)::BIGINT AS tokens, round(sum(loss * n) / nullif(sum(n), 0), 6) AS weighted_loss, round(avg(loss), 6) AS mean_loss FROM d GROUP BY source",
-        "rule_stats": f"{_CHARS} SELECT {_RULE} AS outcome, count(*) AS n FROM documents JOIN top USING (doc_id) GROUP BY 1",
-        "label_audit": f"{_CHARS} SELECT {_RULE} = 'passed' AS kept, quality, count(*) AS cnt FROM documents JOIN top USING (doc_id) JOIN labels USING (doc_id) GROUP BY 1, 2".replace("AS cnt", "AS n"),
-        "text_ratios": f"{_CHARS} SELECT doc_id, round(1 - {_COUNT('[一-鿿]')} / length(text), 4) AS non_cn, round(n / length(text), 4) AS repeat, round({_COUNT(chr(91) + chr(92) + 'p{L}' + chr(92) + 'p{N}]')} / length(text), 4) AS effective FROM documents JOIN top USING (doc_id)",
-        "html_url_counts": f"SELECT page_id, {_COUNT('https?://' + _NS + '+', 'html')}::BIGINT AS n_urls, {_COUNT('<[^>]+>', 'html')}::BIGINT AS n_tags FROM pages",
+        "rule_stats": f"{CHARS} SELECT {rule_sql()} AS outcome, count(*) AS n FROM documents JOIN top USING (doc_id) GROUP BY 1",
+        "label_audit": f"{CHARS} SELECT {rule_sql()} = 'passed' AS kept, quality, count(*) AS n FROM (documents JOIN top USING (doc_id)) AS d(doc_id, text, lang, source, n_chars, n) JOIN labels USING (doc_id) GROUP BY 1, 2",
+        "text_ratios": f"{CHARS} SELECT doc_id, round(1 - {HAN} / length(text), 4) AS non_cn, round(n / length(text), 4) AS repeat, round({LETTERS} / length(text), 4) AS effective FROM documents JOIN top USING (doc_id)",
+        "html_url_counts": f"SELECT page_id, {count_sql('https?://' + NS + '+', 'html')}::BIGINT AS n_urls, {count_sql('<[^>]+>', 'html')}::BIGINT AS n_tags FROM pages",
         "length_order_stats": "WITH r AS (SELECT lang, length(text)::INT AS n, row_number() OVER (PARTITION BY lang ORDER BY length(text)) AS k, count(*) OVER (PARTITION BY lang) AS a FROM documents) SELECT lang, min(n) AS len_min, max(n) AS len_max, count(*) FILTER (n < 10) AS n_short, count(*) FILTER (n > 10000) AS n_long, max(n) FILTER (k = floor(a * 0.1) + 1) AS p10, max(n) FILTER (k = floor(a * 0.5) + 1) AS p50, max(n) FILTER (k = floor(a * 0.9) + 1) AS p90 FROM r GROUP BY lang",
-        "health_by_lang": f"{_CHARS} SELECT lang, count(*) AS count, round(avg(length(text)), 4) AS len_mean, round(stddev_pop(length(text)), 4) AS len_std, round(stddev_pop(length(text)) / greatest(avg(length(text)), 1), 4) AS len_cv, round(avg(1 - {_COUNT('[一-鿿]')} / length(text)), 4) AS non_cn_mean, round(avg(n / length(text)), 4) AS repeat_mean FROM documents JOIN top USING (doc_id) GROUP BY lang",
-        "bigram_diversity": "WITH h AS (SELECT text FROM documents ORDER BY doc_id LIMIT 500), b AS (SELECT substr(text, i::INT, 2) AS b FROM h, unnest(range(1, length(text))) u(i)) SELECT count(DISTINCT b) AS distinct_bigrams, count(*) AS bigrams, round(count(DISTINCT b) / count(*), 6) AS diversity FROM b",
-        "instruction_pairs": f"SELECT *, CASE WHEN coalesce(instruction, '') = '' OR coalesce(output, '') = '' THEN 'empty_field' WHEN length(instruction) < 10 THEN 'instruction_too_short' WHEN length(output) < 30 THEN 'output_too_short' WHEN regexp_matches(output, '作为.?AI|我不能|对不起|我无法|As an AI|I cannot|I''m sorry') THEN 'reject_template' END AS reject FROM ({_PAIRS})",
-        "seed_select": "SELECT doc_id, (row_number() OVER (ORDER BY md5('42:' || doc_id)))::INT AS rank FROM documents WHERE length(text) BETWEEN 100 AND 500 QUALIFY rank <= 80",
+        "health_by_lang": f"{CHARS} SELECT lang, count(*) AS count, round(avg(length(text)), 4) AS len_mean, round(stddev_pop(length(text)), 4) AS len_std, round(stddev_pop(length(text)) / greatest(avg(length(text)), 1), 4) AS len_cv, round(avg(1 - {HAN} / length(text)), 4) AS non_cn_mean, round(avg(n / length(text)), 4) AS repeat_mean FROM documents JOIN top USING (doc_id) GROUP BY lang",
+        "bigram_diversity": "WITH ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents), b AS (SELECT c || lead(c) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM ch) SELECT count(DISTINCT b) AS distinct_bigrams, count(b) AS bigrams, round(count(DISTINCT b) / count(b), 6) AS diversity FROM b",
+        "ppl_scores": f"SELECT doc_id, round(ppl, 3) AS ppl FROM documents LEFT JOIN ({ppl_sql('SELECT text AS t FROM documents', 'SELECT doc_id AS k, text AS t FROM documents')}) ON k = doc_id",
+        "instruction_pairs": f"SELECT *, CASE WHEN coalesce(instruction, '') = '' OR coalesce(output, '') = '' THEN 'empty_field' WHEN length(instruction) < 10 THEN 'instruction_too_short' WHEN length(output) < 30 THEN 'output_too_short' WHEN regexp_matches(output, '作为.?AI|我不能|对不起|我无法|As an AI|I cannot|I''m sorry') THEN 'reject_template' END AS reject FROM ({PAIRS})",
         "type_gap": "WITH a AS (SELECT source, count(*) / sum(count(*)) OVER () AS s FROM documents WHERE lang = 'en' GROUP BY source), b AS (SELECT source, count(*) / sum(count(*)) OVER () AS s FROM documents WHERE lang <> 'en' GROUP BY source) SELECT round(sum(abs(coalesce(a.s, 0) - coalesce(b.s, 0))), 3) AS gap FROM a FULL JOIN b USING (source)",
-        "curriculum_bands": "WITH d AS (SELECT doc_id, n_chars % 997 / 500.0::DOUBLE AS x FROM documents), q AS (SELECT round(quantile_cont(x, 1 / 3::DOUBLE), 3) AS a, round(quantile_cont(x, 2 / 3::DOUBLE), 3) AS b FROM d) SELECT doc_id, (1 + (x >= a)::INT + (x >= b)::INT)::INT AS curriculum_band FROM d, q",
-        "feedback_signals": "SELECT scenario, signal, round(greatest(0, least(1, CASE WHEN up THEN b - r ELSE r - b END / b)), 4) AS deviation, round((r - b) / b * 100, 1) AS delta_pct FROM (VALUES " + ", ".join(f"('{s}', '{n[0]}', {n[1]}, {n[2]}::DOUBLE, {v}::DOUBLE)" for s, vs in flywheel.SCENARIOS.items() for n, v in zip(flywheel.SIGNALS, vs, strict=True)) + ") t(scenario, signal, up, b, r)",
-    }
+    }

@@ -1,10 +1,18 @@
-"""JSON Lines in and out, the run log, and batch resume."""
+"""JSON Lines in and out, results, the run log, and batch resume.
+
+Defined cases: a missing path reads as an empty table, blank and undecodable lines go. Rows that repeat a key in one
+append are all appended. Appends of an empty table add nothing.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .written import written
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -23,12 +31,30 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Appends the rows whose key is not yet at ``path`` (Parquet) and returns how many: a rerun adds nothing twice."""
+    """Appends the rows whose key is not yet at ``path`` (Parquet) and returns how many: a rerun adds nothing twice.
+
+    What is new is worked out once and written before it is appended, so that the count is that of the rows appended.
+    """
     spark = df.sparkSession
-    new = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti") if exists(spark, path) else df
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    new = written(df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti") if exists(spark, path) else df, "append")
+    n = new.count()
+    if n:
+        new.select(*df.columns).write.mode("append").parquet(path)
+    return n
+
+
+def write_result(spark: SparkSession, path: str, result: dict) -> None:
+    """A small result as one line of JSON at ``path``, in any store that Spark writes."""
+    spark.createDataFrame([(json.dumps(result, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_result(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()["value"])
+
+
+def benchmark_table(spark: SparkSession, texts: dict[str, list[str]]) -> DataFrame:
+    """(label, text) of stated texts by quality label, for calibration."""
+    return spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "label string, text string")
 
 
 def log_run(spark: SparkSession, path: str, experiment: str, seconds: float, inputs: dict, outputs: dict, metrics: dict, notes: str = "") -> None:

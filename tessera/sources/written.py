@@ -1,23 +1,47 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares, and scans that use all cores."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where it is unset, a temporary folder for a local master; a cluster must set it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return _own[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below ``spark.checkpoint.dir`` (a temporary folder only where that is unset) and read back."""
+    """``df`` written once below the shared folder and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
-        base = _own[0]
-    path = f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that :func:`written` returned; nothing may read it afterwards."""
+    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        delete(df.sparkSession, f)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt to all cores if it has fewer splits than that (one row group is one split); else as it is."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df

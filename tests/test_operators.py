@@ -67,7 +67,8 @@ def test_leaders_are_those_of_a_scan(spark):
             for j in {i} | {x for x in near[i] if x not in done}:
                 want[j] = i
                 done.add(j)
-    got = {x.id: x.leader for x in dedup.leader_groups(spark.createDataFrame(list(edges), "src int, dst int")).collect()}
+    members = [(x, 0, f"{e}") for e in edges for x in e]  # an edge is a bucket of two
+    got = {x.id: x.leader for x in dedup.leader_groups(spark.createDataFrame(members, "id int, band int, key string")).collect()}
     assert got == want and dedup.band_shape(0.6, 128) == (18, 7)
 
 
