@@ -59,7 +59,7 @@ def parsed_wide(spark, sf_dir):
     i = F.col("doc_id").cast("string")
     reply = F.concat(F.lit("x {"), F.lit('"instruction": "p'), i, F.lit('", "output": "o"} y'), F.when(F.col("doc_id") % 2 == 0, F.lit(" }")).otherwise(F.lit("")))
     p = docs(spark, sf_dir).select("doc_id", instructions.parse_braces(reply).alias("a"), instructions.parse_first_to_last(reply).alias("b"))
-    return p.select("doc_id", F.col("a.instruction").alias("any"), F.col("b.instruction").alias("widest"))
+    return p.select("doc_id", F.col("a.instruction").alias("inner_braces"), F.col("b.instruction").alias("widest"))
 
 
 def marks(spark, sf_dir):
@@ -213,7 +213,7 @@ SQL = {
     "seed_text": "WITH d AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '' END AS a, CASE WHEN doc_id % 2 = 0 THEN source END AS b FROM documents) SELECT doc_id, md5(coalesce(nullif(a, ''), nullif(b, ''), nullif(lang, ''), '')) AS three, md5(coalesce(nullif(a, ''), nullif(b, ''), '')) AS two FROM d",
     "evolve_candidates": f"SELECT seq, CASE WHEN seq % 2 = 0 THEN seq::VARCHAR ELSE substr(instruction, 1, 30) END AS parent_id FROM ({_SEQ}) ORDER BY length(instruction), seq LIMIT 150",
     "parsed_replies": f"WITH r AS (SELECT doc_id, regexp_extract({_REPLY}, '(?s)\\{{.*\"instruction\".*\"output\".*\\}}') AS j FROM documents) SELECT doc_id, CASE WHEN j <> '' THEN json_extract_string(j, '$.instruction') END AS instruction, CASE WHEN j <> '' THEN json_extract_string(j, '$.output') END AS output FROM r",
-    "parsed_wide": "SELECT doc_id, 'p' || doc_id AS any, CASE WHEN doc_id % 2 = 1 THEN 'p' || doc_id END AS widest FROM documents",
+    "parsed_wide": "SELECT doc_id, 'p' || doc_id AS inner_braces, CASE WHEN doc_id % 2 = 1 THEN 'p' || doc_id END AS widest FROM documents",
     "marks": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'A' END AS verdict, CASE WHEN doc_id % 4 <> 0 THEN (doc_id || '.5')::DOUBLE END AS answer, 'x = ' || doc_id AS code FROM documents",
     "math_pairs": "SELECT 'task ' || doc_id AS instruction, '答案：' || doc_id % 7 AS chosen, '答案：' || doc_id % 5 AS rejected, 'math_answer_verification' AS rule_type, (doc_id % 7)::DOUBLE AS answer_a, (doc_id % 5)::DOUBLE AS answer_b FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> doc_id % 5",
     "code_pairs": "WITH d AS (SELECT doc_id AS n, 'x = ' || CASE WHEN doc_id % 3 = 0 THEN '(' ELSE '' END || doc_id AS a, 'y = ' || doc_id AS b, CASE WHEN doc_id % 3 = 0 THEN false WHEN doc_id % 2 = 0 THEN true WHEN doc_id % 5 = 0 THEN false END AS first FROM documents) SELECT printf('task %09d', n) AS instruction, CASE WHEN first THEN a ELSE b END AS chosen, CASE WHEN first THEN b ELSE a END AS rejected, CASE WHEN n % 3 = 0 THEN 'code_execution' ELSE 'llm_judge' END AS rule_type, 'dpo_code' AS source FROM d WHERE first IS NOT NULL ORDER BY instruction, chosen LIMIT 20",
