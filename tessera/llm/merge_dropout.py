@@ -3,17 +3,21 @@
 The vocabulary and the scores are those of a SentencePiece BPE model. A text (a space in front, spaces as
 U+2581) is cut where no piece can span: before each run of U+2581 and around line feeds. In each part the
 agenda holds every adjacent pair whose join is a piece; the best score, and of equals the leftmost, is taken,
-until none is left. With dropout a candidate is skipped for good when a hash, keyed by the seed and the
-text's variant, of its part, place and split falls under ``dropout``; so a seed and a variant fix the result,
-and variants segment alike texts differently. Characters without a piece become their UTF-8 bytes' pieces.
-Parts of up to 48 characters go through the agenda together, as arrays; longer ones one by one with a heap.
-Parts are encoded once per task and variant.
+until none is left. With dropout a candidate is skipped for good when a hash, keyed by the seed, the document,
+the part's number in the text, and the candidate's start, middle and end in the part, falls under ``dropout``: so a
+seed and a document fix the result, and each occurrence of a part is segmented by itself. Characters without a
+piece become their UTF-8 bytes' pieces.
+
+Each distinct part is merged once without dropout, and the candidates taken are kept. For an occurrence these are
+hashed first (all occurrences as arrays); if none is skipped, its result is the one without dropout, as the
+agenda's best is never a skipped one. Other occurrences go through the agenda: parts of up to 48 characters
+together, as arrays; longer ones one by one with a heap.
 
 Decoding joins the pieces' bytes, reads U+2581 as a space and takes off the first. A literal U+2581 in a text
 is encoded as bytes, so that decoding gives every text back exactly.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text. Repeated rows are returned
-each time. Null ids are in variant 0. An empty table gives an empty result.
+each time, alike; null ids are one document key. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +45,6 @@ NO_PAIR = np.int64(-(1 << 60))
 class DropoutConfig:
     dropout: float = 0.1
     seed: int = 1
-    variants: int = 4
 
 
 class Pieces:
@@ -108,31 +111,51 @@ class Pieces:
         return [int(self.byte[b]) for b in c.encode()]
 
 
-def part_keys(parts: list[str], variants: list[int], config: DropoutConfig) -> np.ndarray:
-    seed = config.seed & 0xFFFFFFFF
-    crc = np.array([zlib.crc32(x.encode(), seed) for x in parts], np.int64)
-    return (crc << 16 ^ (np.array(variants, np.int64) * 0x9E3779B9 & 0xFFFFFFFF)).view(np.uint64)
+_M64 = (1 << 64) - 1
+
+
+def document_keys(documents: list[int], config: DropoutConfig) -> np.ndarray:
+    return mix64(np.array([(x ^ config.seed * 0x9E3779B97F4A7C15) & _M64 for x in documents], np.uint64))
+
+
+def occurrence_keys(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Keys of parts, from their documents' keys and their numbers in the texts."""
+    return mix64(keys + numbers.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def candidate_codes(start, middle, end):
+    """The candidate that joins [start, middle) and [middle, end) of a part as one number."""
+    return (np.asarray(start, np.uint64) << np.uint64(42)) + (np.asarray(middle, np.uint64) << np.uint64(21)) + np.asarray(end, np.uint64)
+
+
+def skipped(keys: np.ndarray, codes: np.ndarray, config: DropoutConfig) -> np.ndarray:
+    """Whether candidates are skipped in parts with these keys."""
+    return (mix64(keys + codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) * 2.0**-53 < config.dropout
 
 
-def skipped(key, start, middle, end, config: DropoutConfig):
-    """Whether the candidate that joins [start, middle) and [middle, end) of a part is skipped; arrays or numbers."""
-    x = np.asarray(key, np.uint64) + (np.asarray(start, np.uint64) << np.uint64(42)) + (np.asarray(middle, np.uint64) << np.uint64(21)) + np.asarray(end, np.uint64)
-    return (mix64(np.atleast_1d(mix64(np.atleast_1d(x)))) >> np.uint64(11)).astype(float) * 2.0**-53 < config.dropout
+def _skipped_one(key: int, start: int, middle: int, end: int, dropout: float) -> bool:
+    """As :func:`skipped`, for one candidate, without arrays."""
+    x = (key + ((start << 42) + (middle << 21) + end) * 0x9E3779B97F4A7C15) & _M64
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _M64
+    return ((x ^ x >> 31) >> 11) * 2.0**-53 < dropout
 
 
-def _heap_merge(part: str, p: Pieces, config: DropoutConfig | None, variant: int) -> list[int]:
+def _heap_merge(part: str, p: Pieces, config: DropoutConfig | None, key: int) -> list[int]:
     """One part, with a heap over a linked list."""
     n = len(part)
     ids = [p.chars.get(c, -1) for c in part]
     right, left, end = [*range(1, n), -1], [-1, *range(n - 1)], list(range(1, n + 1))
-    key = part_keys([part], [variant], config)[0] if config and config.dropout else None
+    dropout = config.dropout if config else 0.0
     heap: list[tuple] = []
 
     def offer(a: int) -> None:
         b = right[a]
         if b >= 0 and ids[a] >= 0 and ids[b] >= 0:
             j = p.joins.get(ids[a] << 20 | ids[b])
-            if j and (key is None or not skipped(key, a, b, end[b], config)[0]):
+            if j and not (dropout and _skipped_one(key, a, b, end[b], dropout)):
                 heapq.heappush(heap, (j[1], a, b, end[b], j[0], ids[a], ids[b]))
 
     for a in range(n - 1):
@@ -155,11 +178,12 @@ def _heap_merge(part: str, p: Pieces, config: DropoutConfig | None, variant: int
     return out
 
 
-def _array_merge(parts: list[str], variants: list[int], p: Pieces, config: DropoutConfig | None) -> list[bytes]:
+def _array_merge(parts: list[str], keys: np.ndarray | None, p: Pieces, config: DropoutConfig | None, taken: list | None = None) -> list[bytes]:
     """Parts of like length together: in each round every part takes its best candidate. A column is a part.
 
     Pieces are linked by position: ``ids``, ``after`` and ``prior`` hold the piece that starts there and its neighbours'
     places. ``agenda`` holds the rank of the candidate that starts at a place, with the place in its low bits.
+    ``taken`` gets, for each round, the numbers of the parts that took a candidate, and the candidates.
     """
     n = len(parts)
     lengths = np.fromiter(map(len, parts), np.int64, n)
@@ -170,14 +194,14 @@ def _array_merge(parts: list[str], variants: list[int], p: Pieces, config: Dropo
     ids[np.arange(len(owner)) - offset[owner], owner] = p.char_ids[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")]
     after = np.repeat(np.arange(1, w + 2), n)
     prior = np.repeat(np.arange(-1, w), n)
-    keys = part_keys(parts, variants, config) if config and config.dropout else None
+    keys = keys if config and config.dropout else None
     none = np.int64(1) << 60
 
     def candidates(x, y, rows, a, b, e) -> tuple[np.ndarray, np.ndarray]:
         """Agenda entries and joins of the pairs of pieces x at a and y at b, which ends at e."""
         k, slot = p.found(x << 20 | y)
         if keys is not None:
-            stays = ~skipped(keys[rows[k]], a[k], b[k], e[k], config)
+            stays = ~skipped(keys[rows[k]], candidate_codes(a[k], b[k], e[k]), config)
             k, slot = k[stays], slot[stays]
         entry, joined = np.full(len(x), none), np.zeros(len(x), np.int64)
         entry[k], joined[k] = p.rank[slot] << 6 | a[k], p.join[slot]
@@ -202,6 +226,8 @@ def _array_merge(parts: list[str], variants: list[int], p: Pieces, config: Dropo
         b = after[at_a]
         at_b = b * n + r
         e, left = after[at_b], prior[at_a]
+        if taken is not None:
+            taken.append((r, candidate_codes(a, b, e)))
         at_e = e * n + r
         piece = flat[at_a] = join[at_a]
         flat[at_b], after[at_a], prior[at_e] = -2, e, a
@@ -222,8 +248,11 @@ def _array_merge(parts: list[str], variants: list[int], p: Pieces, config: Dropo
     return out
 
 
-def encode_keyed(parts: list[str], variants: list[int], p: Pieces, config: DropoutConfig | None) -> list[bytes]:
-    """The ids of each part in its variant, as little-endian uint32 bytes."""
+def encode_keyed(parts: list[str], keys: np.ndarray, p: Pieces, config: DropoutConfig | None, taken: list | None = None) -> list[bytes]:
+    """The ids of each part under its key, as little-endian uint32 bytes.
+
+    ``taken`` gets pairs of arrays: numbers of parts (of those up to ``WIDE`` characters), and candidates that they took.
+    """
     out: list = [None] * len(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     order = np.argsort(lengths, kind="stable")
@@ -232,49 +261,98 @@ def encode_keyed(parts: list[str], variants: list[int], p: Pieces, config: Dropo
         x = parts[i]
         out[i] = np.array([p.chars[x]] if x in p.chars else p.ids_of_char(x), "<u4").tobytes()
     for i in order[wide:].tolist():
-        out[i] = np.array(_heap_merge(parts[i], p, config, variants[i]), "<u4").tobytes()
+        out[i] = np.array(_heap_merge(parts[i], p, config, int(keys[i])), "<u4").tobytes()
     for at in np.split(order[one:wide], np.nonzero(np.diff((lengths[order[one:wide]] - 1) // 8))[0] + 1):
         for s in range(0, len(at), 4096):
-            some = at[s : s + 4096].tolist()
-            for i, ids in zip(some, _array_merge([parts[i] for i in some], [variants[i] for i in some], p, config), strict=True):
+            some = at[s : s + 4096]
+            rounds: list | None = None if taken is None else []
+            for i, ids in zip(some.tolist(), _array_merge([parts[i] for i in some.tolist()], keys[some], p, config, rounds), strict=True):
                 out[i] = ids
+            if rounds:
+                taken += [(some[r], c) for r, c in rounds]
     return out
 
 
-def encode_parts(parts: list[str], p: Pieces, config: DropoutConfig | None = None, variant: int = 0) -> list[list[int]]:
-    return [np.frombuffer(x, "<u4").tolist() for x in encode_keyed(parts, [variant] * len(parts), p, config)]
-
-
 def split_parts(text: str) -> list[list[str]]:
     """The parts of a text, in runs between its literal U+2581."""
     return [PART.findall(x.replace(" ", SPACE)) for x in (" " + text).split(SPACE)] if text else []
 
 
 class Encoder:
-    """Encodes texts to ids as little-endian uint32 bytes; parts are kept, and emptied at ``most``."""
+    """Encodes texts to ids as little-endian uint32 bytes. Distinct parts are kept, and emptied at ``most``.
 
-    def __init__(self, path: str, config: DropoutConfig | None = None, most: int = 1_000_000):
-        self.p, self.config, self.most = Pieces(path), config, most
-        self.cache: dict[tuple, dict[str, bytes]] = {}
-        self.literal = np.array(self.p.ids_of_char(SPACE), "<u4").tobytes()
+    Of each part, by its number, it holds the ids without dropout and the candidates taken for them (``codes``, from
+    ``first`` on, ``count`` of them; -1 for a part over ``WIDE`` characters).
+    """
 
-    def encode(self, texts: list[str], variants: list[int], config: DropoutConfig | None) -> list[bytes]:
-        return self.encode_split(list(map(split_parts, texts)), variants, config)
-
-    def encode_split(self, texts: list[list[list[str]]], variants: list[int], config: DropoutConfig | None) -> list[bytes]:
-        """Like :meth:`encode`, of texts as from :func:`split_parts`."""
-        if sum(map(len, self.cache.values())) > self.most:
-            self.cache.clear()
-        found: dict[int, set[str]] = {}
-        for runs, v in zip(texts, variants, strict=True):
-            found.setdefault(v, set()).update(*runs)
-        kept = {v: self.cache.setdefault((config, v), {}) for v in found}
-        new = {v: list(held.difference(kept[v])) for v, held in found.items()}
-        parts, of = [x for y in new.values() for x in y], [v for v, y in new.items() for _ in y]
-        ids = iter(encode_keyed(parts, of, self.p, config))
-        for v, y in new.items():
-            kept[v].update(zip(y, ids, strict=False))
-        return [self.literal.join([b"".join(map(kept[v].__getitem__, x)) for x in runs]) for runs, v in zip(texts, variants, strict=True)]
+    def __init__(self, path: str, most: int = 400_000, run: int = 100_000):
+        self.p, self.most, self.run = Pieces(path), most, run
+        self.literal = np.array(self.p.ids_of_char(SPACE), "<u4").tobytes()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.size = self.first = self.count = np.zeros(0, np.int64)
+        self.codes = np.zeros(0, np.uint64)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Merges the parts that are not kept yet."""
+        if len(self.ids) > self.most:
+            self._clear()
+        new = [x for x in set(parts) if x not in self.number]
+        if not new:
+            return
+        taken: list = []
+        ids = encode_keyed(new, np.zeros(len(new), np.uint64), self.p, None, taken)
+        row, code = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.uint64)), *taken, strict=True))
+        count = np.bincount(row, minlength=len(new))
+        self.number.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+        self.ids += ids
+        self.first = np.concatenate([self.first, len(self.codes) + np.cumsum(count) - count])
+        self.codes = np.concatenate([self.codes, code[np.argsort(row, kind="stable")]])
+        count[np.fromiter(map(len, new), np.int64, len(new)) > WIDE] = -1
+        self.count = np.concatenate([self.count, count])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids)) // 4])
+
+    def encode(self, texts: list[str], documents: list[int], config: DropoutConfig | None) -> list[bytes]:
+        return self.encode_split(list(map(split_parts, texts)), documents, config)[0]
+
+    def encode_split(self, texts: list[list[list[str]]], documents: list[int], config: DropoutConfig | None) -> tuple[list[bytes], list[int]]:
+        """The ids of texts (as from :func:`split_parts`), and how many each has without dropout."""
+        flat = [x for runs in texts for parts in runs for x in parts]
+        self._learn(flat)
+        of = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        ids = list(map(self.ids.__getitem__, of.tolist()))
+        sizes = np.fromiter((sum(map(len, runs)) for runs in texts), np.int64, len(texts))
+        stops = np.cumsum(sizes)
+        upto = np.concatenate([[0], np.cumsum(self.size[of])])
+        literals = np.array([len(self.literal) // 4 * max(0, len(runs) - 1) for runs in texts], np.int64)
+        n_plain = (upto[stops] - upto[stops - sizes] + literals).tolist()
+        if config and config.dropout and flat:
+            number = np.arange(len(flat)) - np.repeat(stops - sizes, sizes)
+            keys = occurrence_keys(np.repeat(document_keys(documents, config), sizes), number)
+            for s in range(0, len(flat), self.run):
+                mine = keys[s : s + self.run]
+                again = np.nonzero(self._touched(of[s : s + self.run], mine, config))[0]
+                for i, x in zip((s + again).tolist(), encode_keyed([flat[s + i] for i in again.tolist()], mine[again], self.p, config), strict=True):
+                    ids[i] = x
+        out, at = [], 0
+        for runs in texts:
+            each = []
+            for parts in runs:
+                each.append(b"".join(ids[at : at + len(parts)]))
+                at += len(parts)
+            out.append(self.literal.join(each))
+        return out, n_plain
+
+    def _touched(self, of: np.ndarray, keys: np.ndarray, config: DropoutConfig) -> np.ndarray:
+        """Which occurrences (parts by number, with keys) skip a candidate that they would take, or are too long to tell."""
+        n = np.maximum(self.count[of], 0)
+        upto = np.cumsum(n)
+        where = np.repeat(self.first[of] - (upto - n), n) + np.arange(int(upto[-1]))
+        hit = np.concatenate([[0], np.cumsum(skipped(np.repeat(keys, n), self.codes[where], config))])
+        return (hit[upto] > hit[upto - n]) | (self.count[of] < 0)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids (as from :meth:`encode`)."""
@@ -290,23 +368,24 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    key = F.xxhash64(F.col(id_col).cast("long"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
 def encode_documents(docs: DataFrame, model: str, config: DropoutConfig = DropoutConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, variant, text, ids, plain): ids with dropout and without, of every text, in one pass."""
-    variant = F.coalesce(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(config.seed)), F.lit(config.variants)), F.lit(0)).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), variant.alias("variant"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(doc_id, text, ids, n_plain): ids with dropout of every text, and how many it has without, in one pass."""
 
     def run(batches):
         e = encoder(model)
         for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                part = b.slice(s, 1024)
-                texts, variants = part.column(2).to_pylist(), part.column(1).to_pylist()
-                split = list(map(split_parts, texts))
-                ids, plain = e.encode_split(split, variants, config), e.encode_split(split, [0] * len(texts), None)
-                both = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in y], pa.list_(pa.int32())) for y in (ids, plain)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *both], ["doc_id", "variant", "text", "ids", "plain"])
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                ids, plain = e.encode_split(list(map(split_parts, part.column(2).to_pylist())), part.column(1).to_pylist(), config)
+                both = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(plain, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *both], ["doc_id", "text", "ids", "n_plain"])
 
-    return rows.mapInArrow(run, "doc_id long, variant int, text string, ids array<int>, plain array<int>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>, n_plain long")
 
 
 def decode_documents(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -324,24 +403,21 @@ def decode_documents(encoded: DataFrame, model: str, ids_col: str = "ids", out:
 
 
 def digest(docs: DataFrame, model: str, config: DropoutConfig = DropoutConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, variant, n_pieces, n_plain, ids_crc32 and lossless (decoding gives the text back) of every text.
+    """doc_id, n_pieces, n_plain, ids_crc32 and lossless (decoding gives the text back) of every text.
 
     Encodes and decodes each batch in one task, so that neither ids nor texts leave it.
     """
-    variant = F.coalesce(F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(config.seed)), F.lit(config.variants)), F.lit(0)).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), variant.alias("variant"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         e = encoder(model)
         for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                part = b.slice(s, 1024)
-                texts, variants = part.column(2).to_pylist(), part.column(1).to_pylist()
-                split = list(map(split_parts, texts))
-                ids, plain = e.encode_split(split, variants, config), e.encode_split(split, [0] * len(texts), None)
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                texts = part.column(2).to_pylist()
+                ids, plain = e.encode_split(list(map(split_parts, texts)), part.column(1).to_pylist(), config)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array([len(x) // 4 for x in y], pa.int64()) for y in (ids, plain)), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([e.decode(x) == t for x, t in zip(ids, texts, strict=True)])],
-                    ["doc_id", "variant", "n_pieces", "n_plain", "ids_crc32", "lossless"],
+                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(plain, pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([e.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())],
+                    ["doc_id", "n_pieces", "n_plain", "ids_crc32", "lossless"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, variant int, n_pieces long, n_plain long, ids_crc32 long, lossless boolean")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_pieces long, n_plain long, ids_crc32 long, lossless boolean")
