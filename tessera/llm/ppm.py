@@ -230,7 +230,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confi
     total = rows.agg(F.sum(F.octet_length("text") + 1), F.count_if(F.col("held_out") == 0)).first()
     blocks = 1 + (total[0] or 0) // config.block_bytes
     ends = total[1]
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(int(blocks), "block")
+    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(4 * int(blocks), "block")  # several to a block, so that two blocks seldom share one
     entries = cut(blocked.groupBy("block").applyInArrow(_dictionary(config), "block int, kind byte, key long, n long"), "ppm-entries")
 
     # a word's rows: one per block that holds it

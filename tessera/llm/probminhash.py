@@ -16,8 +16,8 @@ shingle) with their counts as weights. Similarity is the probability Jaccard ind
 4. Classes are the connected components of the verified pairs (large-star, small-star).
 
 Defined cases: null and empty texts have no shingles and are singletons. Repeated rows are returned each time.
-A class is named by its smallest doc_id (nulls aside). Ids may repeat with different texts: classes are of
-contents. An empty table gives an empty result; columns other than the named ones are not read.
+A class is named by its smallest doc_id (nulls aside), and where that is no name of its own, by a negative hash: ids may
+repeat with different texts, or be null, and classes are of contents. A text without words has its own id, or null. An empty table gives an empty result; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut, mix64
+from .common import cut, mix64, unused
 
 
 @dataclass(frozen=True)
@@ -326,9 +326,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", con
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ProbMinHashConfig = ProbMinHashConfig()) -> DataFrame:
-    """(doc_id, class_id, content) of every row of ``docs``; content is null for texts without words."""
+    """(doc_id, class_id, content) of every row of ``docs``; content is null for texts without words.
+
+    A class is named by its smallest id. Where several classes have one smallest id (an id that repeats with different
+    texts), or a class has no id, those but the first are named by a negative hash of their root.
+    """
     named = classes(docs, id_col, text_col, config)
-    names = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("class_id"))
+    least = cut(named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least")), "names")
+    owners = least.filter("least IS NOT NULL").groupBy("least").agg(F.min("root").alias("owner"))
+    hashed = -1 - F.xxhash64("root").bitwiseAND(F.lit((1 << 63) - 1))
+    # a root is joined with the row that it owns, so no key meets more than one row
+    names = least.join(owners.select(F.col("owner").alias("root"), F.lit(True).alias("owns")), "root", "left").select("root", F.when(F.col("owns") & F.col("least").isNotNull(), F.col("least")).otherwise(hashed).alias("class_id"))
     return named.join(names, "root", "left").select(F.col("id").alias("doc_id"), F.when(F.col("content").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "content")
 
 
@@ -343,16 +351,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     first = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content", "n")).alias("f"))
     kept = cut(first.select("f.id", "f.content", "f.n"), "kept")
 
-    k = docs.columns.index(text_col)
+    k, own = docs.columns.index(text_col), unused("_content", docs)
 
     def contents(batches):
         for b in batches:
             words = [(t.as_py() or "").encode().lower().split() for t in b.column(k)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([content_of(x) if x else None for x in words], pa.binary())], [*b.schema.names, "_content"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([content_of(x) if x else None for x in words], pa.binary())], [*b.schema.names, own])
 
-    held = docs.mapInArrow(contents, StructType([*docs.schema.fields, StructField("_content", BinaryType())]))
-    keys = kept.select(F.col("id").alias("_id"), F.col("content").alias("_kept"))
-    joined = held.filter("_content IS NOT NULL").join(keys.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_content") == F.col("_kept")), "left_semi")
+    held = docs.mapInArrow(contents, StructType([*docs.schema.fields, StructField(own, BinaryType())]))
+    keys = kept.select(F.col("id").alias(unused("_id", docs)), F.col("content").alias(unused("_kept", docs)))
+    key_id, key_content = keys.columns
+    joined = held.filter(F.col(own).isNotNull()).join(keys.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(own) == F.col(key_content)), "left_semi")
     if not kept.filter("n > 1").isEmpty():  # whole rows are repeated
-        joined = joined.dropDuplicates([id_col, "_content"])
-    return joined.unionByName(held.filter("_content IS NULL")).select(*docs.columns)
+        joined = joined.dropDuplicates([id_col, own])
+    return joined.unionByName(held.filter(F.col(own).isNull())).select(*docs.columns)

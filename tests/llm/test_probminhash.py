@@ -81,12 +81,38 @@ def test_classes_are_those_of_brute_force(spark):
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     long = " ".join(map(str, range(50)))
     df = spark.createDataFrame([(1, long, 7), (1, long, 7), (None, long, 8), (None, None, 9), (3, "x", 1), (3, "y", 1)], "doc_id long, text string, content int")
-    got = sorted((r.doc_id or -1, r.class_id or -1) for r in P.near_duplicates(df).collect())
-    assert got == [(-1, -1), (-1, 1), (1, 1), (1, 1), (3, 3), (3, 3)]
+    rows = P.near_duplicates(df).collect()
+    got = sorted((r.doc_id or 0, r.class_id or 0) for r in rows if r.doc_id != 3)
+    assert got == [(0, 0), (0, 1), (1, 1), (1, 1)]
+    named = [r.class_id for r in rows if r.doc_id == 3]
+    assert len(named) == 2 and 3 in named and min(named) < 0
     assert P.near_duplicates(df.limit(0)).count() == 0
     assert P.keep_one(df.limit(0)).columns == df.columns
 
 
+def test_different_classes_have_different_names(spark):
+    texts = ["alpha beta gamma", "one two three four five six", "solo text", "ALPHA beta  gamma"]
+    df = spark.createDataFrame([(3, texts[0]), (3, texts[1]), (4, texts[2]), (None, texts[3]), (None, "only null here"), (None, "only null here"), (None, "another null")], "doc_id long, text string")
+    rows = P.near_duplicates(df).collect()
+    name = {}
+    for r in rows:
+        name.setdefault(r.content, set()).add(r.class_id)
+    assert all(len(v) == 1 for v in name.values()) and len(set.union(*name.values())) == len(name) == 5
+    assert P.keep_one(df).count() == 5
+
+
+def test_very_long_texts_and_extra_columns(spark):
+    r = random.Random(8)
+    words = [f"w{r.randrange(5000)}" for _ in range(60000)]
+    other = list(words)
+    for _ in range(300):
+        other[r.randrange(len(other))] = "x"
+    df = spark.createDataFrame([(1, " ".join(words), 1, "a"), (2, " ".join(other), 1, "b"), (3, "short one", 1, "c")], "doc_id long, text string, root int, _content string")
+    assert {r.doc_id: r.class_id for r in P.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    kept = P.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_one_row_of_each_class_stays_whatever_its_ids(spark):
     text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"}
     rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (None, text["c"] + " more"), (None, text["c"])]
