@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import crosspolytope, fm_toxicity, host_rules, html_tree, merge_dropout, packing, ppm, probminhash, quote_links, warc
@@ -48,6 +48,16 @@ def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.conversations(table(spark, sf_dir, "conversations"))
 
 
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking on a derived table, as ``conversations`` holds no quotes: each message quotes the one before it,
+    with its sentences on lines of their own, and each third one only that one's first sentence."""
+    m = table(spark, sf_dir, "conversations")
+    before = F.regexp_replace(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), r"([.!?]) ", "$1\n")
+    quote = F.when(F.col("turn") % 3 == 2, F.split(before, "\n").getItem(0)).otherwise(before)
+    text = F.when(before.isNull(), F.col("text")).otherwise(F.concat(F.lit("On Monday they wrote:\n> "), F.regexp_replace(quote, "\n", "\n> "), F.lit("\n\n"), "text"))
+    return quote_links.conversations(m.withColumn("text", text))
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -62,7 +72,7 @@ def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_warc, op2_toxicity, op3_lm_score, op4_cross_polytope, op5_merge_dropout, op6_near_duplicates, op7_quote_links, op8_best_fit, op9_host_rules, op10_html_tree]
+    found = [op1_warc, op2_toxicity, op3_lm_score, op4_cross_polytope, op5_merge_dropout, op6_near_duplicates, op7_quote_links, op8_best_fit, op9_host_rules, op10_html_tree, quoted_conversations]
     import corpus_pipeline
 
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in found}
@@ -99,5 +109,33 @@ FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
 
+_QUOTES = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id AS conv, turn, role, coalesce(text, '') AS text FROM (@)),
+l AS (SELECT rid, conv, turn, unnest(regexp_split_to_array(text, '?
+')) AS line, generate_subscripts(regexp_split_to_array(text, '?
+'), 1) AS i FROM m),
+x AS (SELECT *, length(replace(replace(regexp_extract(line, '^(?:[ 	]*>)+'), ' ', ''), chr(9), '')) AS level, lower(trim(regexp_replace(regexp_replace(line, '^(?:[ 	]*>)+', ''), '\s+', ' ', 'g'))) AS norm FROM l),
+b AS (SELECT *, (norm <> '' AND coalesce(lag(norm) OVER w = '' OR lag(level) OVER w <> level, true))::INT AS starts, lead(level) OVER w > 0 AS before_quote FROM x WINDOW w AS (PARTITION BY rid ORDER BY i)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY rid ORDER BY i) AS pn FROM b WHERE norm <> ''),
+p AS (SELECT rid, conv, turn, level, pn, string_agg(norm, ' ' ORDER BY i) AS unit FROM g GROUP BY ALL),
+own AS (SELECT conv, unit, min(turn) AS original FROM (SELECT conv, turn, unit FROM p WHERE level = 0 UNION ALL SELECT conv, turn, norm FROM g WHERE level = 0) WHERE turn IS NOT NULL GROUP BY ALL),
+q AS (SELECT g.conv, g.turn, g.level, coalesce(a.original, o.original) AS original FROM g JOIN p USING (rid, pn)
+  LEFT JOIN own a ON a.conv IS NOT DISTINCT FROM g.conv AND a.unit = p.unit AND a.original < g.turn
+  LEFT JOIN own o ON o.conv IS NOT DISTINCT FROM g.conv AND o.unit = g.norm AND o.original < g.turn WHERE g.level > 0),
+k AS (SELECT conv, turn, level, original, count(*) AS n FROM q WHERE original IS NOT NULL GROUP BY ALL),
+best AS (SELECT conv, turn, original AS reply_to FROM k WHERE level = 1 QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY n DESC, original DESC) = 1),
+linked AS (SELECT conv, turn, sum(n)::BIGINT AS n_linked FROM k GROUP BY ALL),
+t AS (SELECT conv, turn, reply_to AS thread, 1 AS depth FROM best UNION ALL SELECT t.conv, t.turn, b.reply_to, t.depth + 1 FROM t JOIN best b ON t.conv IS NOT DISTINCT FROM b.conv AND t.thread = b.turn),
+top AS (SELECT conv, turn, arg_max(thread, depth) AS thread, max(depth)::INT AS depth FROM t GROUP BY ALL),
+clean AS (SELECT rid, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (regexp_matches(line, '^\s*\S.*(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$') AND coalesce(before_quote, false))), ''), '^\s+|\s+$', '', 'g') AS clean_text,
+  count(*) FILTER (level > 0 AND norm <> '') AS n_quoted FROM b GROUP BY rid),
+r AS (SELECT m.conv AS conv_id, m.turn, role, clean_text, reply_to, coalesce(top.thread, m.turn) AS thread, coalesce(top.depth, 0)::INT AS depth, n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked FROM m JOIN clean USING (rid)
+  LEFT JOIN linked k ON k.conv IS NOT DISTINCT FROM m.conv AND k.turn = m.turn LEFT JOIN best ON best.conv IS NOT DISTINCT FROM m.conv AND best.turn = m.turn LEFT JOIN top ON top.conv IS NOT DISTINCT FROM m.conv AND top.turn = m.turn)
+SELECT *, rank() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST) - 1 AS position FROM r
+"""
+_MADE = r"""SELECT conv_id, turn, role, CASE WHEN b IS NULL THEN text ELSE 'On Monday they wrote:' || chr(10) || '> ' || replace(CASE WHEN turn % 3 = 2 THEN string_split(b, chr(10))[1] ELSE b END, chr(10), chr(10) || '> ') || chr(10) || chr(10) || text END AS text
+  FROM (SELECT *, regexp_replace(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '([.!?]) ', '\1' || chr(10), 'g') AS b FROM conversations)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op9_host_rules": _OP9}
+    return {"op1_warc": _OP1, "op9_host_rules": _OP9, "op7_quote_links": _QUOTES.replace("@", "SELECT * FROM conversations"), "quoted_conversations": _QUOTES.replace("@", _MADE)}
