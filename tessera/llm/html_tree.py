@@ -5,12 +5,16 @@ a potential from its own features (tag, class and id words, text length, link sh
 parent, a potential by label pair and edge kind. Sum-product messages go up to the root and down again and
 give each node's exact content marginal; text leaves of a half or more are kept. The weights are fitted by
 exact maximum likelihood (observed less expected features, from the same messages) to labelled pages: a fixed
-number of pages built by :func:`labelled_pages` from many layouts, each text leaf labelled.
+number of pages built by :func:`labelled_pages` from many layouts, each text leaf labelled. These are made, not taken
+from the web: no labelled pages come with the tables. :func:`fit` takes any labelled pages.
 
 Kept leaves are joined in page order: blocks by one space, white space inside a block as one space.
 
 Defined cases: null and empty pages, and pages without kept text, give an empty text. Unclosed, unmatched and
-deeply nested tags are read like a browser's simple rules do; scripts, styles and comments are never text.
+deeply nested tags are read like a browser's simple rules do; scripts, styles, comments and the contents of closed
+``template``, ``iframe``, ``textarea`` and ``title`` elements are never text. Only an unclosed script or style hides the
+rest of a page; of the others where unclosed the start tag alone is skipped. Formulas, drawings, objects and selections
+are elements like others.
 Repeated rows are returned each time. An empty table gives an empty result.
 """
 
@@ -31,10 +35,14 @@ from pyspark.sql import functions as F
 BITS = 13
 #: fixed values: elements of HTML by how a parser treats them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template iframe textarea title".split())
+SWALLOW = frozenset(("script", "style"))
+INLINE = frozenset("a abbr acronym annotation b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mroot mrow ms msqrt msub msup mtext q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
+#: fixed values: elements that end at the start of one of the others
+ENDED = ("select", "svg", "math")
+ENDS = CLOSES_P | frozenset("b big br center code dd dt em i img li p small span strong strike sub sup tt tr td th u var".split())
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
@@ -81,6 +89,12 @@ def parse(html: str) -> Tree:
         while len(stack) > depth:
             open_count[tags[stack.pop()]] -= 1
 
+    def tags_from(tag: str) -> int:
+        depth = len(stack) - 1
+        while tags[stack[depth]] != tag:
+            depth -= 1
+        return depth
+
     while at < n:
         m = TOKEN.search(html, at)
         end = m.start() if m else n
@@ -98,10 +112,7 @@ def parse(html: str) -> Tree:
             if tag == "br":
                 t.add(stack[-1], "br")
             elif open_count.get(tag):
-                depth = len(stack) - 1
-                while tags[stack[depth]] != tag:
-                    depth -= 1
-                pop_to(depth)
+                pop_to(tags_from(tag))
             continue
         if not (m[2] or m[4]):
             continue
@@ -110,13 +121,14 @@ def parse(html: str) -> Tree:
             continue
         if tag in RAW and not attrs.endswith("/"):
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else n
+            at = close.end() if close else n if tag in SWALLOW else at
             continue
+        if tag in ENDS:
+            for x in ENDED:
+                if open_count.get(x):
+                    pop_to(tags_from(x))
         if tag in CLOSES_P and open_count.get("p"):
-            depth = len(stack) - 1
-            while tags[stack[depth]] != "p":
-                depth -= 1
-            pop_to(depth)
+            pop_to(tags_from("p"))
         if tag in CLOSED_BY:
             depth = len(stack) - 1
             found = None
@@ -275,15 +287,19 @@ BAD_NAMES = {
 GOOD_NAMES = "content article post entry story main text body article-body post-content entry-content main-content page-content".split()
 
 
-def labelled_pages(count: int = 360, seed: int = 5) -> list[tuple[str, list[bool]]]:
+def labelled_pages(count: int = 480, seed: int = 5) -> list[tuple[str, list[bool]]]:
     """``count`` pages of mixed layouts, with a label for each text leaf: the training set's size is this parameter."""
     r = random.Random(seed)
+    extra = random.Random(seed + 1)  # what these choose leaves the other choices as they are
     syllables = "ba ke lo mi nu ra se ti vo da fe gi ho ju".split()
 
     def words(n: int) -> str:
         out = " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(n))
         return out[:1].upper() + out[1:] + r.choice([".", ".", ".", "?", "!", ""])
 
+    def made(n: int) -> str:
+        return " ".join("".join(extra.choice(syllables) for _ in range(extra.randint(1, 4))) for _ in range(n))
+
     def page() -> tuple[str, list[bool]]:
         html, labels = [], []
 
@@ -305,10 +321,35 @@ def labelled_pages(count: int = 360, seed: int = 5) -> list[tuple[str, list[bool
             for _ in range(n):
                 html.append("<li>" if list_ else "<span>")
                 link(words(r.randint(1, 4)), False)
+                if not list_ and extra.random() < 0.5:
+                    put(extra.choice([" | ", " - ", " / "]), False)
                 html.append("</li>" if list_ else "</span>")
             html.append("</ul>" if list_ else "</div>")
 
+        tabled = extra.random() < 0.25
+
         def bad(kind: str) -> None:
+            row = "<tr>" if extra.random() < 0.5 else ""  # cells may share a row
+            cell = f"{row}<td{attr_of(kind) if extra.random() < 0.3 else ''}>" if tabled else ""
+            html.append(cell)
+            part(kind)
+            html.append("</td>" if cell else "")
+
+        def attr_of(kind: str) -> str:
+            x = extra.choice(BAD_NAMES[kind])
+            return extra.choice([f" class={x}", f' id="{x}"'])
+
+        def part(kind: str) -> None:
+            if tabled and kind == "menu" and extra.random() < 0.7:  # bare links in a cell
+                for _ in range(extra.randint(2, 7)):
+                    html.append('<a href="/m">')
+                    put(made(extra.randint(1, 2)), False)
+                    html.append("</a>")
+                    if extra.random() < 0.5:
+                        put(extra.choice([" | ", " - "]), False)
+                    else:
+                        html.append("<br>")
+                return
             tag = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form"}.get(kind, r.choice(["div", "section", "div"]))
             semantic = tag not in ("div", "section") and r.random() < 0.6
             html.append(f"<{tag}{attr(kind) if r.random() < 0.4 else ''}>" if semantic else f"<{(tag := r.choice(['div', 'div', 'section', 'p']))}{attr(kind)}>")
@@ -323,7 +364,14 @@ def labelled_pages(count: int = 360, seed: int = 5) -> list[tuple[str, list[bool
             elif kind == "form":
                 html.append("<label>")
                 put(words(2), False)
-                html.append('</label><input name="q"><button>')
+                html.append('</label><input name="q">')
+                if extra.random() < 0.4:
+                    html.append("<select>")
+                    for _ in range(extra.randint(1, 4)):
+                        html.append("<option>")
+                        put(made(2), False)
+                    html.append("</select>")
+                html.append("<button>")
                 put(words(1), False)
                 html.append("</button>")
             elif kind in ("side", "header") and r.random() < 0.6:
@@ -354,6 +402,10 @@ def labelled_pages(count: int = 360, seed: int = 5) -> list[tuple[str, list[bool
                     put(words(r.randint(1, 4)), True)
                     html.append(f"</{x}>" if r.random() < 0.85 else "<br>")
                     put(" " + words(r.randint(1, 20)), True)
+                if extra.random() < 0.1:
+                    html.append("<math><mi>")
+                    put(made(1), True)
+                    html.append("</mi></math>")
                 html.append("</p>" if r.random() < 0.9 else "")
             elif kind < 0.70:
                 html.append("<p><b>")
@@ -383,7 +435,7 @@ def labelled_pages(count: int = 360, seed: int = 5) -> list[tuple[str, list[bool
                     html.append("</tr>")
                 html.append("</table>")
 
-        html.append("<html><head><title>t</title><style>p{}</style></head><body>")
+        html.append("<html><head><title>t</title><style>p{}</style></head><body>" + "<table width=100%>" * tabled)
         for k in ("header", "menu", "notice", "ad", "form"):
             if r.random() < 0.55:
                 bad(k)
@@ -392,24 +444,25 @@ def labelled_pages(count: int = 360, seed: int = 5) -> list[tuple[str, list[bool
         if r.random() < 0.3:
             bad("side")
         box = r.choice(["<article>", "<article>", "<main>", "<article class='post'>", "<main><article>", *(f'<div class="{x}">' for x in r.sample(GOOD_NAMES, 3)), f'<div id="{r.choice(GOOD_NAMES)}">', f'<section class="{r.choice(GOOD_NAMES)}">', "<div>"])
-        html.append(box)
+        html.append(extra.choice(["<tr><td>", "<td>"]) * tabled + box * (not tabled or extra.random() < 0.5))
         if r.random() < 0.8:
-            html.append("<h1>")
+            title = extra.choice(["h1", "h1", "h2"])
+            html.append(f"<{title}>")
             put(words(r.randint(1, 12)), True)
-            html.append("</h1>")
+            html.append(f"</{title}>")
         for _ in range(r.randint(1, 14)):
             paragraph()
             if r.random() < 0.06:
                 bad(r.choice(["ad", "side", "notice", "form", "menu"]))
         if r.random() < 0.15:
             bad("comments")
-        html.append("".join(f"</{x}>" for x in reversed(re.findall(r"<(\w+)", box))))
+        html.append("".join(f"</{x}>" for x in reversed(re.findall(r"<(\w+)", box))) + "</td>" * tabled)
         if r.random() < 0.35:
             bad("comments")
         for k in ("side", "ad", "menu", "notice", "form", "footer"):
             if r.random() < (0.7 if k == "footer" else 0.3):
                 bad(k)
-        html.append("</div>" if wrap else "")
+        html.append(("</div>" if wrap else "") + "</table>" * tabled)
         html.append(r.choice(["</body></html>", ""]))
         return "".join(html), labels
 

@@ -16,8 +16,9 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.write(table(spark, sf_dir, "pages"))
-    return warc.read_all(spark, archive).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write(pages)
+    return warc.seek(spark, archive, warc.url_keys(pages)).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html,
 top AS (SELECT d, max(page_id) AS response FROM p WHERE octet_length(b) >= 1000 GROUP BY d)
 SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, p.d AS payload_digest,
   CASE WHEN response IS NULL OR response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN response <> page_id THEN response END AS refers_to
+  CASE WHEN response IS DISTINCT FROM page_id THEN response END AS refers_to
 FROM p LEFT JOIN top ON p.d = top.d AND octet_length(b) >= 1000
 """
 
@@ -111,8 +112,10 @@ FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 
 _QUOTES = r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id AS conv, turn, role, coalesce(text, '') AS text FROM (@)),
-l AS (SELECT rid, conv, turn, unnest(regexp_split_to_array(text, '?
-')) AS line, generate_subscripts(regexp_split_to_array(text, '?
+l AS (SELECT rid, conv, turn, unnest(regexp_split_to_array(text, '
+?
+')) AS line, generate_subscripts(regexp_split_to_array(text, '
+?
 '), 1) AS i FROM m),
 x AS (SELECT *, length(replace(replace(regexp_extract(line, '^(?:[ 	]*>)+'), ' ', ''), chr(9), '')) AS level, lower(trim(regexp_replace(regexp_replace(line, '^(?:[ 	]*>)+', ''), '\s+', ' ', 'g'))) AS norm FROM l),
 b AS (SELECT *, (norm <> '' AND coalesce(lag(norm) OVER w = '' OR lag(level) OVER w <> level, true))::INT AS starts, lead(level) OVER w > 0 AS before_quote FROM x WINDOW w AS (PARTITION BY rid ORDER BY i)),

@@ -9,11 +9,14 @@ well are in that list, which is itself written.
 Index: lines of (reversed-host URL key, id, archive, offset, length), range-partitioned and sorted by key,
 in compressed blocks; and a sparse directory with the first key and the place of each block. A lookup
 searches the directory by halves, reads one block by its range (or its neighbours, if a key runs on), searches
-its lines, and reads the record by its range. Reading all rows back goes the same way: directory, blocks, then
-the records' ranges, archive by archive.
+its lines by halves, and reads the record by its range. :func:`lookup` does so for a few URLs on the driver, and
+:func:`seek` for a table of URLs of any size: tasks search the directory, each block that is wanted is read once by
+the task that its keys were dealt to (so a key with many captures is many tasks), and lines go to the records' ranges,
+archive by archive. :func:`read_all` walks the index without keys.
 
 Defined cases: a null payload is empty; a null URL has the key ``-`` and no target header. Ids may repeat (each
-row has its record; rows with the response's own id are responses); null ids are written as -1. Payloads under ``min_payload`` bytes are all responses. An
+row has its record; rows with the response's own id are responses). A null id is written and read as null, is never
+referred to, and equal payloads that have null ids only are all responses. Payloads under ``min_payload`` bytes are all responses. An
 empty table gives no archive and an empty index. Columns other than the named ones are not read.
 """
 
@@ -30,6 +33,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pfs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,12 +66,12 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + at + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def record_bytes(rid: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record_bytes(rid: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One gzip member with a response record, or a revisit record if ``refers_to`` is given."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{rid}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'null' if rid is None else rid}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -90,7 +94,8 @@ def parse_record(member: bytes) -> dict:
     length = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
     if kind == "response" and (len(payload) != length or hashlib.sha1(payload).hexdigest() != stated):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
-    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+    name = lambda x: x.removeprefix("<urn:page:").removesuffix(">")
+    number = lambda x: None if name(x) == "null" else int(name(x))
     refers = fields.get("WARC-Refers-To")
     return {"id": number(fields["WARC-Record-ID"]), "type": kind, "url": fields.get("WARC-Target-URI"), "refers_to": number(refers) if refers else None, "digest": stated, "payload_bytes": length, "payload": payload if kind == "response" else None}
 
@@ -110,12 +115,14 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     """Writes the archives and their index below the shared folder."""
     spark = pages.sparkSession
     folder = fresh_dir(spark, "warc")
-    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     digest = F.when(F.length("payload") >= min_payload, F.unhex(F.sha1("payload")))
     # of each payload met twice or more, the response's id; ids and digests alone are shuffled for it
     short = rows.select("id", digest.alias("digest")).filter("digest IS NOT NULL")
     shared = short.groupBy("digest").agg(F.max("id").alias("response"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    marked = rows.withColumn("digest", digest).join(shared, "digest", "left").select("id", "url", "payload", "response")
+    # rows without a digest get an 8-byte key of their own that no digest equals, so that they are not one key
+    alone = F.unhex(F.lpad(F.hex(F.xxhash64("id", "url", "payload")), 16, "0"))
+    marked = rows.withColumn("digest", F.coalesce(digest, alone)).join(shared, "digest", "left").select("id", "url", "payload", "response")
 
     def save(batches):
         fs, base = _open(folder)
@@ -192,7 +199,7 @@ def lookup(archive: Archive, urls: list[str]) -> list[dict]:
         i = max(0, bisect.bisect_left(firsts, key) - 1)
         while i < len(entries) and entries[i]["first_key"] <= key:
             lines = _block(archive.folder, entries[i]) if entries[i]["last_key"] >= key else []
-            at = bisect.bisect_left(lines, [key])
+            at = bisect.bisect_left(lines, key, key=lambda x: x[0])
             while at < len(lines) and lines[at][0] == key:
                 _, _, name, offset, length = lines[at]
                 out.append(parse_record(read_range(f"{archive.folder}/{name}", offset, length)))
@@ -201,19 +208,84 @@ def lookup(archive: Archive, urls: list[str]) -> list[dict]:
     return out
 
 
-def read_all(spark: SparkSession, archive: Archive, payloads: bool = False, tasks: int | None = None) -> DataFrame:
-    """Every record: id, url, record_type, refers_to, payload_digest (hex), payload_bytes and, if asked for, payload.
+def url_keys(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """(key) the distinct keys of a table's URLs."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({url_key(u) for u in b.column(0).to_pylist()}), pa.string())], ["key"])
+
+    return urls.select(F.col(url_col).cast("string").alias("url")).mapInArrow(run, "key string").distinct()
+
+
+def seek(spark: SparkSession, archive: Archive, keys: DataFrame, payloads: bool = False) -> DataFrame:
+    """The records of all captures of the keys in ``keys`` (key), as :func:`read_all` returns them.
 
-    Blocks are read by range to lines; lines go to their archive's task in order of offset, and lines that
-    adjoin are read at once, up to 8 MB.
+    Each task reads the directory (a row for ``lines_per_block`` captures) and searches it by halves for its keys.
     """
+    folder, files = archive.folder, archive.directory.inputFiles()
+
+    def blocks(batches):
+        found = [pq.read_table(p, filesystem=fs) for fs, p in map(_open, files)]
+        directory = pa.concat_tables(found).sort_by([("first_key", "ascending"), ("last_key", "ascending")]) if found else None
+        n = directory.num_rows if directory else 0
+        first, last, place = (directory.column(c).combine_chunks() for c in ("first_key", "last_key", "block_file")) if n else ([], [], [])
+        offset, length = (directory.column(c).to_numpy() for c in ("offset", "length")) if n else ([], [])
+        for b in batches:
+            out = []
+            for key in b.column(0).to_pylist():
+                i = max(0, bisect.bisect_left(range(n), key, key=lambda k: first[k].as_py()) - 1)
+                while i < n and first[i].as_py() <= key:
+                    if last[i].as_py() >= key:
+                        out.append((place[i].as_py(), int(offset[i]), int(length[i]), key))
+                    i += 1
+                    if len(out) >= 10_000:
+                        yield table(out)
+                        out = []
+            yield table(out)
+
+    def table(rows):
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["block_file", "offset", "length", "key"])
+
+    def lines(batches):
+        held, block = None, []
+        for b in batches:
+            out = []
+            for entry in b.to_pylist():
+                if held != (entry["block_file"], entry["offset"]):
+                    held, block = (entry["block_file"], entry["offset"]), _block(folder, entry)
+                at = bisect.bisect_left(block, entry["key"], key=lambda x: x[0])
+                while at < len(block) and block[at][0] == entry["key"]:
+                    out.append(block[at])
+                    at += 1
+            yield _line_batch(out)
+
+    wanted = keys.mapInArrow(blocks, "block_file string, offset long, length long, key string")
+    at = wanted.repartition("block_file", "offset").sortWithinPartitions("block_file", "offset", "key").mapInArrow(lines, INDEX_DDL)
+    return _records(at, folder, payloads, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _line_batch(rows) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "id", "archive", "offset", "length"])
+
+
+def read_all(spark: SparkSession, archive: Archive, payloads: bool = False, tasks: int | None = None) -> DataFrame:
+    """Every record: id, url, record_type, refers_to, payload_digest (hex), payload_bytes and, if asked for, payload."""
     folder = archive.folder
 
     def lines(batches):
         for b in batches:
             for entry in b.to_pylist():
-                cols = list(zip(*_block(folder, entry), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "id", "archive", "offset", "length"])
+                yield _line_batch(_block(folder, entry))
+
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _records(archive.directory.repartition(tasks).mapInArrow(lines, INDEX_DDL), folder, payloads, tasks)
+
+
+def _records(lines: DataFrame, folder: str, payloads: bool, tasks: int) -> DataFrame:
+    """The records of index lines, which go to their archive's task in order of offset; lines that adjoin are read at once, up to 8 MB."""
 
     def records(batches):
         for b in batches:
@@ -232,6 +304,5 @@ def read_all(spark: SparkSession, archive: Archive, payloads: bool = False, task
                 k = j
 
     # an archive's lines are dealt by ranges of offsets, so that a large archive is read by many tasks
-    at = archive.directory.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(lines, INDEX_DDL)
-    ordered = at.repartitionByRange(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "archive", "offset").sortWithinPartitions("archive", "offset")
+    ordered = lines.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return ordered.select("archive", "offset", "length").mapInArrow(records, "id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payloads)

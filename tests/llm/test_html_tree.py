@@ -1,6 +1,8 @@
 import itertools
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from tessera.llm import html_tree as H
 
@@ -47,6 +49,49 @@ def test_held_out_layouts():
     assert hits / said > 0.97 and hits / truth > 0.97, (hits / said, hits / truth)
 
 
+#: written by hand, in layouts that the training pages' builder does not make: a page and its main text
+OTHER_LAYOUTS = [
+    (
+        "<html><body><table width=100%><tr><td colspan=2 id=top-banner><a href=/>Home</a> | <a href=/n>News</a> | <a href=/c>Contact</a></td></tr><tr><td class=leftmenu><a href=1>Archive</a><br><a href=2>Links</a></td><td><h2>Harvest begins early</h2><p>Farmers in the valley started the harvest two weeks before the usual date, after a warm and dry spring.</p><p>The cooperative expects a good year.</p></td></tr></table><div id=copyright>Copyright 2003</div></body></html>",
+        "Harvest begins early Farmers in the valley started the harvest two weeks before the usual date, after a warm and dry spring. The cooperative expects a good year.",
+    ),
+    (
+        "<body><div id=page><div class='navbar-collapse'><ul><li><a href=#>Start</a><li><a href=#>About us</a></ul></div><div role=main><div class='entry-header'><h1>On slow trains</h1></div><div class=entry-content><p>A slow train stops everywhere, and that is the point of it.<p>You see <em>every</em> platform and hear every <a href=x>announcement</a> twice.<blockquote>Nothing is far if you have time.</blockquote></div></div><div id=secondary class=sidebar><h3>Recent posts</h3><ul><li><a href=#>Fast boats</a></ul></div><div class=comments-area><h3>2 comments</h3><p>Lovely piece!</p></div></div></body>",
+        "On slow trains A slow train stops everywhere, and that is the point of it. You see every platform and hear every announcement twice. Nothing is far if you have time.",
+    ),
+    (
+        "<body><header><img src=l.png><nav><a href=a>One</a><a href=b>Two</a></nav></header><div class=cookie-consent>This site uses cookies <button>OK</button></div><main><article><h1>Energy of a body</h1><p>The energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> in these units, as everyone knows by now.</p><select><option>unclosed choice<p>After it the text goes on as before, for the reader's benefit.</p></article></main><footer><p>Imprint</p></footer></body>",
+        "Energy of a body The energy is E=m in these units, as everyone knows by now. After it the text goes on as before, for the reader's benefit.",
+    ),
+]
+
+
+def shares(page, want):
+    """Of the words got, those wanted; of the words wanted, those got."""
+    a, b = H.extract([page], H.default_model())[0].split(), want.split()
+    same = sum((Counter(a) & Counter(b)).values())
+    return same / max(1, len(a)), same / len(b)
+
+
+def test_layouts_of_another_make():
+    for page, want in OTHER_LAYOUTS[1:]:
+        got = shares(page, want)
+        assert got[0] > 0.85 and got[1] > 0.9, (page, got)
+
+
+@pytest.mark.xfail(reason="a short page laid out in one table: its article isn't found", strict=False)
+def test_a_table_layout():
+    assert min(shares(*OTHER_LAYOUTS[0])) > 0.85
+
+
+def test_only_scripts_and_styles_hide_text():
+    body = "<p>Enough words stand here to be the text of an article that someone reads.</p>"
+    for t in ("select", "object", "svg", "template", "iframe", "textarea", "title", "math", "noscript"):
+        held = H.parse(f"<article>{body}<{t}>{body}</article>").text
+        assert sum("Enough words" in x for x in held) == 2, t
+    assert sum("Enough" in x for x in H.parse(f"<article>{body}<script>{body}</article>").text) == 1
+
+
 def test_hostile_pages():
     deep = "<div>" * 3000 + "x" + "<p>" * 100
     assert H.extract([deep, "</p></div>", "<script>never ends", "<!-- never ends", "<a b='"], H.default_model())[1:] == ["", "", "", ""]
