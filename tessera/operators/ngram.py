@@ -109,16 +109,30 @@ def probabilities(model: NgramModel, grams: DataFrame, backoff: str = "jump") ->
 BROADCAST_GRAMS = 400_000
 
 
-def log_probabilities(model: NgramModel, grams: DataFrame, backoff: str = "jump") -> DataFrame:
-    """(g, lnp) of the distinct n-grams in ``grams``, written once, and sent to all tasks if there are few."""
-    table = written(probabilities(model, grams, backoff).select("g", F.ln("p").alias("lnp")), "probabilities")
-    return F.broadcast(table) if table.count() <= BROADCAST_GRAMS else table
+def with_log_probabilities(model: NgramModel, tokens: DataFrame, backoff: str = "jump") -> DataFrame:
+    """``tokens`` (with g) with lnp, in one pass over them.
+
+    The probabilities of the model's own n-grams are worked out once and written, and sent to all tasks if there are few.
+    A token whose n-gram was not seen takes that of its last character, or of its longest seen suffix; one whose character
+    was not seen takes the unigram estimate of a count of 0.
+    """
+    table = written(probabilities(model, model.counts, backoff).select(F.col("g").alias("_g"), F.ln("p").alias("_l")), "probabilities")
+    table = F.broadcast(table) if table.count() <= BROADCAST_GRAMS else table
+    orders = [model.n, 1] if backoff == "jump" else list(range(model.n, 0, -1))
+    out, found = tokens, []
+    for k in dict.fromkeys(orders):
+        suffix = F.substr(F.col("g"), -F.least(F.length("g"), F.lit(k)), F.lit(k))
+        here = table.select(F.col("_g").alias(f"_g{k}"), F.col("_l").alias(f"_l{k}"))
+        out = out.join(here, suffix == F.col(f"_g{k}"), "left")
+        found.append(F.col(f"_l{k}"))
+    unseen = ALPHA / (model.tokens + ALPHA * model.vocabulary) if model.tokens else None
+    return out.select(*tokens.columns, F.coalesce(*found, F.ln(F.lit(unseen).cast("double"))).alias("lnp"))
 
 
 def perplexity(model: NgramModel, df: DataFrame, keys: list[str], text_col: str = "text", backoff: str = "jump") -> DataFrame:
     """``df`` with ppl, infinite for texts of fewer than two tokens; a column of that name is replaced.
 
-    Probabilities are worked out once for each distinct n-gram and meet the tokens in the task that made them; what is
+    Probabilities are worked out once for each n-gram of the model and meet the tokens in the task that made them; what is
     shuffled is one sum per text. Rows are told by keys and text: ids may be null or repeat.
     """
     rows = df.drop("ppl") if "ppl" in df.columns and "ppl" not in keys and text_col != "ppl" else df
@@ -126,7 +140,7 @@ def perplexity(model: NgramModel, df: DataFrame, keys: list[str], text_col: str
     names = [f"_k{i}" for i in range(len(keys))]
     texts = tagged.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("_h").alias("_t"), F.col(text_col).alias("_text"))
     tokens = gram_stream(texts, model.n, "_text", [*names, "_t"])
-    scored = tokens.join(log_probabilities(model, tokens, backoff), "g").groupBy(*names, "_t").agg(F.exp(-F.avg("lnp")).alias("_ppl"), F.max("n_tokens").alias("_n"))
+    scored = with_log_probabilities(model, tokens, backoff).groupBy(*names, "_t").agg(F.exp(-F.avg("lnp")).alias("_ppl"), F.max("n_tokens").alias("_n"))
     on = F.col("_h") == F.col("_t")
     for k, n in zip(keys, names, strict=True):
         on = on & F.col(k).eqNullSafe(F.col(n))

@@ -53,11 +53,12 @@ def ngram_losses(pairs: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
     grams = F.slice(T.windows(F.col("_w"), n, short=True), F.col("_skip") + 1, F.length("_o"))
     cond = whole.select(*keys, "_i", F.explode(grams).alias("g"))
     last = F.substr(F.col("g"), F.lit(-1), F.lit(1))
-    cond = cond.groupBy(*keys, "_i", "g").agg(F.count(F.lit(1)).alias("k")).join(ngram.log_probabilities(model, cond, "stepwise"), "g")
+    cond = cond.groupBy(*keys, "_i", "g").agg(F.count(F.lit(1)).alias("k"))
+    cond = ngram.with_log_probabilities(model, cond, "stepwise")
     share = (F.length("_i") - F.length(F.replace(F.col("_i"), last, F.lit("")))) / F.greatest(F.length("_i"), F.lit(1))
     after = cond.groupBy(*keys).agg((-F.sum(F.col("k") * F.ln(0.5 * F.exp("lnp") + 0.5 * share)) / F.sum("k")).alias("loss_cond"))
     plain = texts.select(*keys, F.explode(T.windows(F.col("_o"), n, short=True)).alias("g"))
-    alone = plain.join(ngram.log_probabilities(model, plain, "stepwise"), "g").groupBy(*keys).agg((-F.avg("lnp")).alias("loss_uncond"))
+    alone = ngram.with_log_probabilities(model, plain, "stepwise").groupBy(*keys).agg((-F.avg("lnp")).alias("loss_uncond"))
     return join_groups(alone, after, keys)
 
 
