@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -138,13 +139,27 @@ def content_of(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+def _parts(b: pa.RecordBatch, k: int, rows: int = 256, size: int = 1 << 20):
+    """``b`` in slices of at most ``rows`` rows whose values in column ``k`` have ``size`` bytes at most, or of one row.
+
+    Words take some ten times the memory of their text, so those of a whole Arrow batch (10,000 rows) are not held at once.
+    """
+    start = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(k)), 0).to_numpy(zero_copy_only=False).tolist()):
+        if i > start and (i - start == rows or held + n > size):
+            yield b.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < b.num_rows:
+        yield b.slice(start)
+
+
 def _sketch(config: ProbMinHashConfig):
     schema = pa.schema([("id", pa.int64()), ("content", pa.binary()), ("sig", pa.binary())])
 
     def run(batches):
         for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
+            for part in _parts(b, 1):
                 words = [(t.as_py() or "").encode().lower().split() for t in part.column(1)]
                 sig = signatures([np.unique(shingles(w, config.words), return_counts=True) for w in words], config.size)
                 yield pa.RecordBatch.from_arrays(
@@ -165,13 +180,15 @@ def _shingle_table(pairs: DataFrame, docs: DataFrame, text_col: str, config: Pro
 
     def contents(batches):
         for b in batches:
-            words = [(t.as_py() or "").encode().lower().split() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([content_of(w) if w else None for w in words], pa.binary()), b.column(0)], ["content", "text"])
+            for part in _parts(b, 0):
+                words = [(t.as_py() or "").encode().lower().split() for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([content_of(w) if w else None for w in words], pa.binary()), part.column(0)], ["content", "text"])
 
     def sets(batches):
         for b in batches:
-            s = [np.sort(shingles(t.as_py().encode().lower().split(), config.words)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["content", "shingles"])
+            for part in _parts(b, 1):
+                s = [np.sort(shingles(t.as_py().encode().lower().split(), config.words)).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.binary())], ["content", "shingles"])
 
     texts = docs.select(F.col(text_col).alias("text")).mapInArrow(contents, "content binary, text string")
     held = texts.join(wanted.hint("shuffle_hash"), "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
@@ -230,8 +247,7 @@ def _signs(members: DataFrame, distinct: DataFrame, held: DataFrame, config: Pro
 
     def run(batches):
         for b in batches:
-            for start in range(0, b.num_rows, 64):
-                part = b.slice(start, 64)
+            for part in _parts(b, 2, rows=64):
                 sets = [np.unique(np.frombuffer(x.as_py(), np.uint64), return_counts=True) for x in part.column(2)]
                 fine = (signatures(sets, config.fine) & np.uint32(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in fine], pa.binary()), part.column(2)], ["content", "sig", "fine", "shingles"])
@@ -355,8 +371,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
 
     def contents(batches):
         for b in batches:
-            words = [(t.as_py() or "").encode().lower().split() for t in b.column(k)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([content_of(x) if x else None for x in words], pa.binary())], [*b.schema.names, own])
+            for part in _parts(b, k):
+                words = [(t.as_py() or "").encode().lower().split() for t in part.column(k)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([content_of(x) if x else None for x in words], pa.binary())], [*b.schema.names, own])
 
     held = docs.mapInArrow(contents, StructType([*docs.schema.fields, StructField(own, BinaryType())]))
     keys = kept.select(F.col("id").alias(unused("_id", docs)), F.col("content").alias(unused("_kept", docs)))

@@ -1,7 +1,10 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tessera.llm import probminhash as P
 
@@ -120,3 +123,25 @@ def test_one_row_of_each_class_stays_whatever_its_ids(spark):
     kept = P.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     got = Counter((r.doc_id, (r.text or "")[:1]) for r in kept)
     assert got == {(None, "a"): 1, (None, "b"): 1, (None, "c"): 1, (5, "d"): 1, (5, "e"): 1, (7, "f"): 1, (None, ""): 2}
+
+
+def test_words_of_a_whole_batch_are_not_held_at_once(spark, monkeypatch):
+    steps, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema: (steps.append((self.columns, run)), plain(self, run, schema))[1])
+    base = " ".join(map(str, range(100)))
+    assert P.keep_one(spark.createDataFrame([(1, base), (2, base + " x")], "doc_id long, text string")).count() == 1
+    on_texts = [(c, run) for c, run in steps if "text" in c]
+    assert len(on_texts) == 4  # sketches, contents, shingles, and the contents of whole rows
+    r = np.random.default_rng(0)
+    for n, length, names, most in ((4000, 150, ("contents", "sets"), 10e6), (40, 15000, ("run",), 50e6)):
+        text = " ".join(map(str, r.integers(100, 9999, length).tolist()))
+        batch = {"doc_id": pa.array(range(n)), "id": pa.array(range(n)), "content": pa.array([b""] * n), "text": pa.array([text] * n)}
+        for columns, run in on_texts:
+            if run.__name__ in names:
+                tracemalloc.start()
+                try:
+                    rows = sum(x.num_rows for x in run([pa.RecordBatch.from_pydict({c: batch[c] for c in columns})]))
+                    peak = tracemalloc.get_traced_memory()[1]
+                finally:
+                    tracemalloc.stop()
+                assert rows == n and peak < most, (run.__name__, peak)
