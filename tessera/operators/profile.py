@@ -1,6 +1,7 @@
 """Length profiles, corpus health, and before/after tables.
 
-Defined cases: null texts have no length and enter no figure but ``count``; empty texts have a length and no ratios.
+Defined cases: null texts have no length and enter no figure but ``count``; empty texts have a length and no ratios,
+or, with ``empty`` (:data:`AS_SQL`), the ones given.
 Null groups are groups. Repeated rows count each time. An empty table gives no groups and, without groups, one row of
 nulls and zeros.
 """
@@ -14,6 +15,15 @@ from ..functions import text as T
 from .ranks import order_statistics
 from .rules import URL
 
+#: What SQL's division of doubles makes of an empty text: 1 - 0 / 0, and 1 / 0, as it splits into one empty character.
+AS_SQL = (float("nan"), float("inf"))
+
+
+def ratios(col, empty: tuple[float, float] | None = None):
+    """The non-Han and repeat ratios; those of empty texts are null or the two of ``empty``."""
+    both = T.non_script_ratio(col), T.repeat_ratio(col)
+    return both if empty is None else tuple(F.when(F.length(col) == 0, F.lit(e)).otherwise(x) for x, e in zip(both, empty, strict=True))
+
 
 def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Two tables of a row per group side by side; null groups meet. Without keys both have one row."""
@@ -34,12 +44,13 @@ def length_profile(df: DataFrame, text_col: str = "text", keys: list[str] = ())
     return join_groups(rest, stats, keys)
 
 
-def ratio_profile(df: DataFrame, text_col: str = "text", keys: list[str] = ()) -> DataFrame:
-    """Means and maxima of the non-Han and repeat ratios (empty texts aside), and URL counts."""
+def ratio_profile(df: DataFrame, text_col: str = "text", keys: list[str] = (), empty: tuple[float, float] | None = None) -> DataFrame:
+    """Means and maxima of the non-Han and repeat ratios (empty texts aside, or with the ratios ``empty``), and URL counts."""
     t = F.col(text_col)
+    a, b = ratios(t, empty)
     urls = T.count_matches(t, URL)
     return (
-        df.select(*keys, T.non_script_ratio(t).alias("a"), T.repeat_ratio(t).alias("b"), urls.alias("u"))
+        df.select(*keys, a.alias("a"), b.alias("b"), urls.alias("u"))
         .groupBy(*keys)
         .agg(F.avg("a").alias("non_cn_mean"), F.max("a").alias("non_cn_max"), F.avg("b").alias("repeat_mean"), F.max("b").alias("repeat_max"), F.count_if(F.col("u") > 0).alias("url_docs"), F.max("u").alias("max_urls"))
     )
@@ -52,11 +63,12 @@ def bigram_diversity(df: DataFrame, text_col: str = "text", seq: str = "doc_id",
     return pairs.groupBy("b").count().agg(F.count(F.lit(1)).alias("distinct_bigrams"), F.sum("count").alias("bigrams")).withColumn("diversity", F.col("distinct_bigrams") / F.col("bigrams"))
 
 
-def health(df: DataFrame, text_col: str = "text", keys: list[str] = (), ppl_col: str | None = None) -> DataFrame:
+def health(df: DataFrame, text_col: str = "text", keys: list[str] = (), ppl_col: str | None = None, empty: tuple[float, float] | None = None) -> DataFrame:
     """count, length mean, population deviation and cv, mean ratios and, if there is a perplexity, its figures."""
     keys = list(keys)
     t = F.col(text_col)
-    rows = df.select(*keys, F.length(t).cast("double").alias("n"), T.non_script_ratio(t).alias("a"), T.repeat_ratio(t).alias("b"), *([F.col(ppl_col).alias("p")] if ppl_col else []))
+    a, b = ratios(t, empty)
+    rows = df.select(*keys, F.length(t).cast("double").alias("n"), a.alias("a"), b.alias("b"), *([F.col(ppl_col).alias("p")] if ppl_col else []))
     finite = F.when(~F.isnan("p") & (F.abs("p") != float("inf")), F.col("p")) if ppl_col else None
     out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"),

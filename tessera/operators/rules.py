@@ -35,6 +35,8 @@ class RuleConfig:
     #: the script whose characters rule 2 asks for
     script: str = T.HAN
     whitelist: dict = field(default_factory=lambda: WHITELIST)
+    #: off: empty and blank texts are judged as all others, as SQL without that exception does
+    blank_passes: bool = True
 
 
 #: The same rules for texts in Latin letters.
@@ -53,10 +55,10 @@ def effective_ratio(col):
 
 
 def reject_rule(col, config: RuleConfig = RuleConfig()):
-    """The first rule that rejects a text, null if none. Blank texts pass all rules."""
+    """The first rule that rejects a text, null if none. Blank texts pass all rules, unless the configuration says otherwise."""
     n = F.length(col)
     return (
-        F.when(T.strip(col) == "", F.lit(None).cast("string"))
+        F.when((T.strip(col) == "") if config.blank_passes else F.lit(False), F.lit(None).cast("string"))
         .when(((n < config.min_length) & ~whitelisted(col, config, "length")) | (n > config.max_length), "length")
         .when((T.non_script_ratio(col, config.script) > config.max_non_script) & ~whitelisted(col, config, "non_chinese"), "non_chinese")
         .when(T.repeat_ratio(col) > config.max_repeat, "repeat_char")

@@ -18,6 +18,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that :data:`CHARS` has: all but those with a null text, which has no characters."""
+    return docs(spark, sf_dir).filter("text IS NOT NULL")
+
+
 def difficulty():
     """A stand-in for a difficulty, as the tables hold none."""
     return (F.col("n_chars") % 997 / 500.0).alias("ifd_score")
