@@ -3,6 +3,10 @@
 A seen n-gram has 0.6 of its relative frequency and 0.4 of its suffix's probability; an unseen one goes
 straight to the smoothed unigram (``backoff="jump"``) or to its suffix (``"stepwise"``).
 
+N-grams of up to three characters fit a 64-bit integer: texts are counted and scored over Arrow batches, with the model's
+probabilities in a sorted array that every task gets, so that no row per character is ever made. Longer n-grams, and
+models of more than ``PACKED_GRAMS``, are counted and joined as rows.
+
 Defined cases: null, empty and blank texts have no tokens and an infinite perplexity, as texts of one token have; texts
 shorter than ``n`` are scored and not learned from. Without training texts every probability is undefined and every
 perplexity null. Repeated rows and ids are each scored. Empty tables give empty results.
@@ -12,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,13 +75,157 @@ class NgramModel:
         return NgramModel(spark.read.parquet(f"{path}/counts"), s["n"], s["tokens"], s["vocabulary"])
 
 
+#: bits of a packed character (code point + 1, 0 for none) and most characters of a packed n-gram
+BITS, PACKED_N = 21, 3
+#: most characters that are packed at once, and most n-grams that a task sums before it lets them go
+PIECE, HELD = 1 << 20, 1 << 21
+#: most n-grams of a model that is sent to every task packed (16 bytes each)
+PACKED_GRAMS = 2_000_000
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+
+
+def packed_grams(c: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """For each character the n-gram that ends there, short at a text's start; ``at``: places within the texts."""
+    out = c.copy()
+    for j in range(1, n):
+        out[j:] |= np.where(at[j:] >= j, c[:-j], 0) << (BITS * j)
+    return out
+
+
+def pieces(texts: list[str]):
+    """(first, codes, starts, places) of runs of texts with some ``PIECE`` characters; no text is empty."""
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) <= PIECE):
+            size += len(texts[last])
+            last += 1
+        lengths = np.array([len(t) for t in texts[first:last]], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        yield first, codes("".join(texts[first:last])), starts, np.arange(size) - np.repeat(starts, lengths)
+        first = last
+
+
+def unpacked(keys: np.ndarray) -> list[str]:
+    parts = [(keys >> (BITS * j)) & ((1 << BITS) - 1) for j in range(PACKED_N - 1, -1, -1)]
+    return ["".join(chr(x - 1) for x in g if x) for g in zip(*(p.tolist() for p in parts), strict=True)]
+
+
+def packed(grams: list[str]) -> np.ndarray:
+    out = np.zeros(len(grams), np.int64)
+    size = np.array([len(g) for g in grams], np.int64)
+    for j in range(PACKED_N):
+        has = np.nonzero(size > j)[0]
+        out[has] |= codes("".join(grams[i][-1 - j] for i in has)) << (BITS * j)
+    return out
+
+
+def _counted(n: int):
+    """Batches of one text column to (g, c): the n-grams of a task's texts of at least ``n`` characters, summed."""
+
+    def summed(held):
+        keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, at = np.unique(keys, return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, at, counts)
+        return keys, total
+
+    def out(keys, counts):
+        for s in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(keys[s : s + 100_000]), pa.string()), pa.array(counts[s : s + 100_000])], ["g", "c"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            texts = [t for t in ((x.as_py() or "").strip() for x in b.column(0)) if len(t) >= n]
+            for _, c, _, at in pieces(texts):
+                held.append(np.unique(packed_grams(c, n, at), return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield from out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from out(*summed(held))
+
+    return run
+
+
+@dataclass
+class Packed:
+    """Log probabilities by packed n-gram, in order; unseen: that of a character that the model lacks, NaN without a model."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+    unseen: float
+    orders: list[int]
+
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        """The log probability of each n-gram, or of its longest suffix of ``orders`` that the model has."""
+        out = np.full(len(grams), self.unseen)
+        if not len(self.keys):
+            return out
+        left = np.arange(len(grams))
+        for k in self.orders:
+            g = grams[left] & ((1 << (BITS * k)) - 1)
+            at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
+            hit = self.keys[at] == g
+            out[left[hit]] = self.logs[at[hit]]
+            left = left[~hit]
+        return out
+
+
+def pack_model(model: NgramModel, backoff: str = "jump") -> Packed | None:
+    """The model as arrays on the driver; None if its n-grams are too long or too many."""
+    if model.n > PACKED_N or model.counts.count() > PACKED_GRAMS:
+        return None
+    got = probabilities(model, model.counts, backoff).select("g", F.ln("p").alias("l")).toArrow()
+    keys = packed(got.column("g").to_pylist())
+    order = np.argsort(keys)
+    unseen = float(np.log(ALPHA / (model.tokens + ALPHA * model.vocabulary))) if model.tokens else float("nan")
+    return Packed(keys[order], got.column("l").to_numpy()[order], unseen, _orders(model.n, backoff))
+
+
+def _orders(n: int, backoff: str) -> list[int]:
+    return list(dict.fromkeys([n, 1] if backoff == "jump" else range(n, 0, -1)))
+
+
+def _perplexities(model: Packed, n: int):
+    """A column function: the perplexity of each text. Not pushed through filters, as it would run once more."""
+
+    @F.arrow_udf("double")
+    def ppl(col: pa.Array) -> pa.Array:
+        texts = [(x.as_py() or "").strip() for x in col]
+        out = np.full(len(texts), np.inf)
+        scored = [i for i, t in enumerate(texts) if len(t) > 1]
+        for first, c, starts, at in pieces([texts[i] for i in scored]):
+            logs = np.add.reduceat(model.score(packed_grams(c, n, at)), starts)
+            sizes = np.diff(np.r_[starts, len(c)])
+            out[scored[first : first + len(starts)]] = np.exp(-logs / sizes)
+        return pa.array(out, pa.float64(), mask=np.isnan(out))
+
+    return ppl.asNondeterministic()
+
+
 def train(df: DataFrame, n: int = 3, text_col: str = "text") -> NgramModel:
     """Counts of all orders up to ``n``, from texts of at least ``n`` tokens, written once.
 
     Longest grams are counted from the texts once (with partial sums); shorter ones are sums over those.
     """
+    if n <= PACKED_N:
+        top = df.select(F.col(text_col)).mapInArrow(_counted(n), "g string, c long")
+        return _model(top, n)
     long = df.filter(F.length(T.strip(F.coalesce(F.col(text_col), F.lit("")))) >= n)
     top = gram_stream(long, n, text_col, []).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    return _model(top, n)
+
+
+def _model(top: DataFrame, n: int) -> NgramModel:
     suffixes = F.transform(F.sequence(F.lit(1), F.length("g")), lambda k: F.substr(F.col("g"), -k, k))
     counts = written(top.select(F.explode(suffixes).alias("g"), "c").groupBy("g").agg(F.sum("c").alias("c")), "ngrams")
     totals = counts.filter("length(g) = 1").agg(F.sum("c"), F.count(F.lit(1))).first()
@@ -118,9 +267,8 @@ def with_log_probabilities(model: NgramModel, tokens: DataFrame, backoff: str =
     """
     table = written(probabilities(model, model.counts, backoff).select(F.col("g").alias("_g"), F.ln("p").alias("_l")), "probabilities")
     table = F.broadcast(table) if table.count() <= BROADCAST_GRAMS else table
-    orders = [model.n, 1] if backoff == "jump" else list(range(model.n, 0, -1))
     out, found = tokens, []
-    for k in dict.fromkeys(orders):
+    for k in _orders(model.n, backoff):
         suffix = F.substr(F.col("g"), -F.least(F.length("g"), F.lit(k)), F.lit(k))
         here = table.select(F.col("_g").alias(f"_g{k}"), F.col("_l").alias(f"_l{k}"))
         out = out.join(here, suffix == F.col(f"_g{k}"), "left")
@@ -132,10 +280,13 @@ def with_log_probabilities(model: NgramModel, tokens: DataFrame, backoff: str =
 def perplexity(model: NgramModel, df: DataFrame, keys: list[str], text_col: str = "text", backoff: str = "jump") -> DataFrame:
     """``df`` with ppl, infinite for texts of fewer than two tokens; a column of that name is replaced.
 
-    Probabilities are worked out once for each n-gram of the model and meet the tokens in the task that made them; what is
-    shuffled is one sum per text. Rows are told by keys and text: ids may be null or repeat.
+    Probabilities are worked out once for each n-gram of the model. A packed model scores each row where it is; else they
+    meet the tokens in the task that made them and one sum per text is shuffled, and rows are told by keys and text: ids
+    may be null or repeat.
     """
     rows = df.drop("ppl") if "ppl" in df.columns and "ppl" not in keys and text_col != "ppl" else df
+    if (small := pack_model(model, backoff)) is not None:
+        return rows.select(*rows.columns, _perplexities(small, model.n)(F.col(text_col)).alias("ppl"))
     tagged = rows.withColumn("_h", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     names = [f"_k{i}" for i in range(len(keys))]
     texts = tagged.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("_h").alias("_t"), F.col(text_col).alias("_text"))
@@ -164,7 +315,7 @@ def hard_filter(filtered: DataFrame) -> DataFrame:
 
 def calibrate(scored: DataFrame, label_col: str = "label", factor: float = 1.5) -> DataFrame:
     """Per label: count and figures of finite perplexities; threshold: 1.5 times the 95th percentile, one place."""
-    x = scored.filter("ppl < double('inf')").withColumn("ppl", F.col("ppl").cast("double"))
+    x = written(scored.filter("ppl < double('inf')").select(label_col, F.col("ppl").cast("double").alias("ppl")), "calibration")
     figures = x.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"), F.avg("ppl").alias("ppl_mean"), F.min("ppl").alias("ppl_min"), F.max("ppl").alias("ppl_max"))
     out = join_groups(figures, percentiles(x, "ppl", {"ppl_median": 0.5, "ppl_p95": 0.95}, [label_col]), [label_col])
     return out.withColumn("threshold", F.round(F.col("ppl_p95") * factor, 1))
