@@ -78,7 +78,7 @@ class NgramModel:
 #: bits of a packed character (code point + 1, 0 for none) and most characters of a packed n-gram
 BITS, PACKED_N = 21, 3
 #: most characters that are packed at once, and most n-grams that a task sums before it lets them go
-PIECE, HELD = 1 << 20, 1 << 21
+PIECE, HELD = 1 << 18, 1 << 19
 #: most n-grams of a model that is sent to every task packed (16 bytes each)
 PACKED_GRAMS = 2_000_000
 
@@ -95,12 +95,13 @@ def packed_grams(c: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(texts: list[str]):
-    """(first, codes, starts, places) of runs of texts with some ``PIECE`` characters; no text is empty."""
+def pieces(texts: list[str], most: int | None = None):
+    """(first, codes, starts, places) of runs of texts with some ``most`` (``PIECE``) characters; no text is empty."""
+    most = most or PIECE
     first = 0
     while first < len(texts):
         last, size = first, 0
-        while last < len(texts) and (last == first or size + len(texts[last]) <= PIECE):
+        while last < len(texts) and (last == first or size + len(texts[last]) <= most):
             size += len(texts[last])
             last += 1
         lengths = np.array([len(t) for t in texts[first:last]], np.int64)
