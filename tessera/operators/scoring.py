@@ -48,20 +48,52 @@ def ngram_losses(pairs: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
     """
     texts = pairs.select(*keys, T.strip(F.coalesce("instruction", F.lit(""))).alias("_i"), T.strip(F.coalesce("output", F.lit(""))).alias("_o")).filter("_o != ''")
     model = ngram.train(texts, n, "_o")
+    if (small := ngram.pack_model(model, "stepwise")) is not None:
+        sums = _pair_sums(texts, keys, small, n)
+        return sums.groupBy(*keys).agg((-F.sum("_a") / F.sum("_n")).alias("loss_uncond"), (-F.sum("_b") / F.sum("_n")).alias("loss_cond"))
     lead = F.substr(F.concat(F.col("_i"), F.lit("\n")), F.lit(-(n - 1)), F.lit(n - 1))
     whole = texts.withColumn("_w", F.concat(lead, F.col("_o"))).withColumn("_skip", F.length(lead))
     grams = F.slice(T.windows(F.col("_w"), n, short=True), F.col("_skip") + 1, F.length("_o"))
     cond = whole.select(*keys, "_i", F.explode(grams).alias("g"))
     last = F.substr(F.col("g"), F.lit(-1), F.lit(1))
-    cond = cond.groupBy(*keys, "_i", "g").agg(F.count(F.lit(1)).alias("k"))
+    cond = cond.groupBy(*keys, "_i", "g").agg(F.count(F.lit(1)).alias("_c"))
     cond = ngram.with_log_probabilities(model, cond, "stepwise")
     share = (F.length("_i") - F.length(F.replace(F.col("_i"), last, F.lit("")))) / F.greatest(F.length("_i"), F.lit(1))
-    after = cond.groupBy(*keys).agg((-F.sum(F.col("k") * F.ln(0.5 * F.exp("lnp") + 0.5 * share)) / F.sum("k")).alias("loss_cond"))
+    after = cond.groupBy(*keys).agg((-F.sum(F.col("_c") * F.ln(0.5 * F.exp("lnp") + 0.5 * share)) / F.sum("_c")).alias("loss_cond"))
     plain = texts.select(*keys, F.explode(T.windows(F.col("_o"), n, short=True)).alias("g"))
     alone = ngram.with_log_probabilities(model, plain, "stepwise").groupBy(*keys).agg((-F.avg("lnp")).alias("loss_uncond"))
     return join_groups(alone, after, keys)
 
 
+def _pair_sums(texts: DataFrame, keys: list[str], model: ngram.Packed, n: int) -> DataFrame:
+    """(keys, _a, _b, _n) of each pair (keys, _i, _o): sums of ln p over the output's characters, without and with the instruction, and their number."""
+    k = len(keys)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:k]) + ", _a double, _b double, _n long"
+
+    def grams(text: str) -> np.ndarray:
+        c = ngram.codes(text)
+        return ngram.packed_grams(c, n, np.arange(len(c)))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, o in zip(b.column(k), b.column(k + 1), strict=True):
+                i, o = i.as_py(), o.as_py()
+                lead = (i + "\n")[max(0, len(i) + 2 - n) :]
+                alone, after = model.score(grams(o)), model.score(grams(lead + o)[len(lead) :])
+                c, share = ngram.codes(o), 0.0
+                if i:
+                    kinds, times = np.unique(ngram.codes(i), return_counts=True)
+                    at = np.minimum(np.searchsorted(kinds, c), len(kinds) - 1)
+                    share = np.where(kinds[at] == c, times[at] / len(i), 0.0)
+                out.append((alone.sum(), np.log(0.5 * np.exp(after) + 0.5 * share).sum(), len(o)))
+            x = np.array(out, np.float64).reshape(-1, 3)
+            sums = [pa.array(x[:, j], pa.float64(), mask=np.isnan(x[:, j])) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], *sums, pa.array(x[:, 2].astype(np.int64))], [*keys, "_a", "_b", "_n"])
+
+    return texts.select(*keys, "_i", "_o").mapInArrow(run, ddl)
+
+
 def with_ifd(scored: DataFrame) -> DataFrame:
     """``scored`` with ifd_score, the ratio of its two losses."""
     return scored.withColumn("ifd_score", ifd(F.col("loss_cond"), F.col("loss_uncond")))
