@@ -18,6 +18,10 @@ from .instructions import top_bigrams
 from .ranks import row_numbers
 
 
+#: rows that one task scans on end, if chunks are smaller: some seconds' work
+RUN_ROWS = 50_000
+
+
 def length_gap(a: DataFrame, b: DataFrame, instruction: str = "instruction", output: str = "output") -> DataFrame:
     """(field, mean_a, mean_b, gap_pct): mean lengths, and their difference against the first mean (1 at least) in per cent."""
 
@@ -51,40 +55,59 @@ def dedup_recent(df: DataFrame, order: str, text_col: str = "instruction", windo
     """``df`` with recent_duplicate: whether a row's set of characters has a Jaccard similarity of the threshold or more with
     one of the last ``window`` rows that were kept before it, in the order of ``order`` (distinct).
 
-    A scan by definition, done in chunks: each is scanned from the state that the chunk before it left in the round
-    before, until no state changes. The first chunk is right after one round, each later one after its predecessor is,
-    and as a state forgets all but its last rows, few rounds are needed. Only the states (at most ``window`` sets of
-    characters a chunk) come to the driver.
+    A scan by definition, done in runs of whole chunks, one run a task: each is scanned from the state that the run before
+    it left in the round before, until no state changes. The first run is right after one round, each later one after its
+    predecessor is, and as a state forgets all but its last rows, few rounds are needed; a round scans only runs whose
+    state has changed. Only the states (at most ``window`` sets of characters a run) come to the driver.
     """
     rows = row_numbers(df.select(F.col(order).alias("_order"), F.col(text_col).alias("_text")), ["_order"], "_at")
     rows = written(rows.withColumn("_chunk", F.floor(F.col("_at") / chunk)), "recent")
+    rows = rows.select("_order", "_text", "_at", F.floor(F.col("_chunk") / max(1, RUN_ROWS // chunk)).alias("_run"))
 
-    def scan(states: dict[int, list[str]]):
+    def scan(start: dict[int, list[str]]):
         def run(t: pa.Table) -> pa.Table:
             t = t.sort_by("_at")
-            k = t.column("_chunk")[0].as_py()
-            recent = deque((set(x) for x in states.get(k - 1, [])), maxlen=window)
+            k = t.column("_run")[0].as_py()
+            bits: dict[str, int] = {}  # each character is a bit, so that a set is one number
+
+            def packed(x: str) -> int:
+                s = 0
+                for c in set(x):
+                    s |= bits.setdefault(c, 1 << len(bits))
+                return s
+
+            recent = deque((packed(x) for x in start.get(k, [])), maxlen=window)
             flags = []
             for x in t.column("_text"):
-                s = set(x.as_py() or "")
-                dup = any(s and len(s & r) >= threshold * len(s | r) for r in recent)
+                s = packed(x.as_py() or "")
+                dup = s != 0 and any((s & r).bit_count() >= threshold * (s | r).bit_count() for r in recent)
                 flags.append(dup)
                 if not dup:
                     recent.append(s)
-            state = ["".join(sorted(s)) for s in recent]
-            return pa.table([t.column("_order"), pa.array(flags, pa.bool_()), pa.array([k] * len(flags), pa.int64()), pa.array([state if i == 0 else None for i in range(len(flags))], pa.list_(pa.string()))], names=["_order", "recent_duplicate", "_chunk", "state"])
+            names = list(bits)
+            state = ["".join(sorted(c for i, c in enumerate(names) if s >> i & 1)) for s in recent]
+            return pa.table([t.column("_order"), pa.array(flags, pa.bool_()), pa.array([k] * len(flags), pa.int64()), pa.array([state if i == 0 else None for i in range(len(flags))], pa.list_(pa.string()))], names=["_order", "recent_duplicate", "_run", "state"])
 
         return run
 
     kind = rows.schema["_order"].dataType.simpleString()
-    states: dict[int, list[str]] = {}
-    while True:
-        out = written(rows.groupBy("_chunk").applyInArrow(scan(states), f"_order {kind}, recent_duplicate boolean, _chunk long, state array<string>"), "recent")
-        now = {r["_chunk"]: r["state"] for r in out.filter("state IS NOT NULL").select("_chunk", "state").collect()}
-        if len(now) < 2 or now == states:
-            break
-        states = now
-    return df.join(out.select(F.col("_order").alias(order), "recent_duplicate"), order)
+    states: dict[int, list[str]] = {}  # by run: the state that it left,
+    given: dict[int, list[str]] = {}  # the one that it was scanned from,
+    last: dict[int, int] = {}  # and the round that scanned it last
+    outs: list[DataFrame] = []
+    todo: list[int] | None = None
+    while todo is None or todo:
+        some = rows if todo is None else rows.filter(F.col("_run").isin(todo))
+        start = {k: states.get(k - 1, []) for k in todo or []}
+        outs.append(written(some.groupBy("_run").applyInArrow(scan(start), f"_order {kind}, recent_duplicate boolean, _run long, state array<string>"), "recent"))
+        for r in outs[-1].filter("state IS NOT NULL").select("_run", "state").collect():
+            k = r["_run"]
+            states[k], given[k], last[k] = r["state"], start.get(k, []), len(outs) - 1
+        todo = [k for k in sorted(states) if states.get(k - 1, []) != given[k]]
+    flagged = outs[0].limit(0)
+    for i, out in enumerate(outs):
+        flagged = flagged.unionByName(out.filter(F.col("_run").isin([k for k, n in last.items() if n == i])))
+    return df.join(flagged.select(F.col("_order").alias(order), "recent_duplicate"), order)
 
 
 def consistency_flags(vectors: DataFrame, id_col: str, vec_col: str, sample: int = 30, threshold: float = 0.95, seed: int = 42) -> DataFrame:
